@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.runtime import small_or_plain
+from textquarry.runtime import cut, small_or_plain
 
 # Extensions of code and style files.
 CODE_EXTENSIONS = "py pyw js mjs cjs jsx ts tsx css scss less go java kt scala c h cc cpp cxx hpp cs rs rb php swift".split()
@@ -180,7 +180,7 @@ def file_origins(chunks: DataFrame) -> DataFrame:
         *[F.max(c).alias(c) for c in ("generated", "vendored", "own")],
         F.collect_set("print").alias("prints"),
     )
-    share = lambda c: F.col(c) >= MACHINE_SHARE * F.col("total")
+    share = lambda c: (F.col("total") > 0) & (F.col(c) >= MACHINE_SHARE * F.col("total"))
     repository = F.substring_index("source_path", "/", 1)
     files = files.select(
         "source_path",
@@ -188,11 +188,12 @@ def file_origins(chunks: DataFrame) -> DataFrame:
         "prints",
         F.when(F.col("vendored") & ~F.col("own"), "vendored").when(share("minified"), "minified").when(F.col("generated") & ~F.col("own"), "generated").when(share("machine"), "machine").alias("content"),
     )
+    files = cut(files)
     # Declared by an attribute file.
     declared = _declared(files.select("source_path"), attribute_rules(rows))
     files = files.join(declared, "source_path", "left")
     proven = F.coalesce("declared_generated", "declared_vendored", F.col("content").isNotNull(), F.lit(False))
-    files = files.withColumn("proven", proven)
+    files = cut(files.withColumn("proven", proven))  # one row per file, read several times below
     # Text of a proven third-party copy, elsewhere; one row per (text, file), so a text in a third of all files stays splittable.
     third = files.where((F.col("content") == "vendored") | F.col("declared_vendored")).select(F.explode("prints").alias("print")).distinct()
     shared = (

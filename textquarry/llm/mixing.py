@@ -110,10 +110,11 @@ def build_mix(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -
     mix = draw_mix(sizes, plan)
     reached = mix.groupBy("source").agg(F.sum("tokens").alias("mixed"), F.count(F.lit(1)).alias("copies"))
     whole = F.sum(F.coalesce("mixed", F.lit(0))).over(Window.partitionBy())
-    short = F.col("available") * F.col("max_repeats") < F.col("budget")
+    # A source that can fill its budget is drawn up to the document that reaches it, so only a capped one stays below.
+    short = F.coalesce("mixed", F.lit(0)) < F.col("budget") - 0.5
     # One row per target: a small table, so the window over all of it is no hot task.
     report = plan.join(reached, "source", "left").select(
-        "source", "target_share", F.coalesce("mixed", F.lit(0)).alias("tokens"), F.coalesce("copies", F.lit(0)).alias("copies"),
+        "source", "target_share", "max_repeats", F.coalesce("mixed", F.lit(0)).alias("tokens"), F.coalesce("copies", F.lit(0)).alias("copies"),
         F.coalesce(F.col("mixed") / whole, F.lit(0.0)).alias("actual_share"), F.round("budget").cast("long").alias("budget_tokens"), short.alias("short"),
     )
     return mix, report

@@ -26,37 +26,54 @@ from textquarry.runtime import cut, small_or_plain
 
 #: Vectors per model to which the trees are fitted: the sample, and with it the forest, is bounded.
 SAMPLE = 16_384
-TREES, VISITED, LEAF, SAMPLE_LEAF = 3, 7, 400, 8
+TREES, VISITED, LEAF, SAMPLE_LEAF = 4, 7, 640, 8
+#: Random directions tried per node, the points of a node they are tried on, and how central the plane must be.
+DIRECTIONS, TRIED, CENTRE = 24, 1500, (0.35, 0.65)
 #: Rows of a leaf per block.
 BLOCK = 4096
 
 
 class Tree:
-    """A complete binary tree of splitting planes in heap order."""
+    """A complete binary tree of splitting planes in heap order.
+
+    Of several random projections of a node, the one with the emptiest stretch near its middle is taken, and the plane is
+    laid there: few vectors are then parted from their neighbours.
+    """
 
     def __init__(self, points: np.ndarray, depth: int, rng: np.random.Generator):
-        dim = points.shape[1]
         self.depth = depth
-        self.normals = np.zeros((2**depth - 1, dim), dtype=np.float32)
+        self.normals = np.zeros((2**depth - 1, points.shape[1]), dtype=np.float32)
         self.offsets = np.zeros(2**depth - 1, dtype=np.float32)
         groups = [np.arange(len(points))]
         for level in range(depth):
             after = []
             for k, rows in enumerate(groups):
-                node = 2**level - 1 + k
-                normal = rng.standard_normal(dim)
-                if len(rows) >= 2:
-                    # A plane between two random points of the node, as far as they differ.
-                    a, b = points[rng.choice(rows, 2, replace=False)]
-                    if np.abs(a - b).max() > 1e-6:
-                        normal = a - b
-                normal = normal / (np.linalg.norm(normal) or 1.0)
-                side = points[rows] @ normal if len(rows) else np.zeros(0)
-                self.normals[node] = normal
-                self.offsets[node] = np.median(side) if len(side) else 0.0
-                after += [rows[side < self.offsets[node]], rows[side >= self.offsets[node]]]
+                normal, offset = self._plane(points[rows], rng)
+                self.normals[2**level - 1 + k], self.offsets[2**level - 1 + k] = normal, offset
+                side = points[rows] @ normal
+                after += [rows[side < offset], rows[side >= offset]]
             groups = after
 
+    @staticmethod
+    def _plane(points: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+        dim = points.shape[1]
+        if len(points) < 4:
+            v = rng.standard_normal(dim)
+            return v / np.linalg.norm(v), 0.0
+        tried = points if len(points) <= TRIED else points[rng.choice(len(points), TRIED, replace=False)]
+        ends = rng.integers(0, len(tried), (DIRECTIONS, 2))
+        directions = tried[ends[:, 0]] - tried[ends[:, 1]]
+        same = np.abs(directions).max(axis=1) < 1e-6
+        directions[same] = rng.standard_normal((int(same.sum()), dim))
+        directions = directions / np.linalg.norm(directions, axis=1, keepdims=True)
+        along = np.sort(tried @ directions.T, axis=0)
+        low = int(len(tried) * CENTRE[0])
+        high = max(int(len(tried) * CENTRE[1]), low + 2)
+        width = min(max(1, len(tried) // 25), high - low - 1)
+        gaps = along[low + width : high] - along[low : high - width]
+        i, d = np.unravel_index(np.argmax(gaps), gaps.shape)
+        return directions[d], float(along[low + i, d] + along[low + i + width, d]) / 2
+
 
 def fit_forest(points: np.ndarray, n: int, seed: int = 17) -> list[Tree]:
     """Trees for n vectors, fitted on a sample of them."""
@@ -88,95 +105,105 @@ def visited_leaves(forest: list[Tree], x: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``vec_id, model, v``: one unit vector per id of the usual length of its model."""
-    rows = vectors.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.col("embedding_model").isNotNull()).select("vec_id", F.col("embedding_model").alias("model"), F.col("embedding").cast("array<double>").alias("e"))
+    """``vec_id, model, v, h1, h2``: one unit vector (32-bit numbers as bytes) per id of the usual length of its model.
+
+    ``h1`` and ``h2`` are 128 bits of hash by which equal vectors of a model are grouped.
+    """
+    rows = vectors.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.col("embedding_model").isNotNull()).select("vec_id", F.col("embedding_model").alias("model"), F.col("embedding").cast("array<float>").alias("e"))
     sizes = rows.groupBy("model", F.size("e").alias("d")).agg(F.count(F.lit(1)).alias("n"))
     usual = sizes.groupBy("model").agg(F.max_by("d", F.struct("n", "d")).alias("d"))
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
-    checked = rows.join(small_or_plain(usual), "model").where((F.size("e") == F.col("d")) & ~F.exists("e", lambda x: x.isNull() | F.isnan(x))).withColumn("norm", norm)
-    unit = checked.where((F.col("norm") > 0) & (F.col("norm") < float("inf"))).select("vec_id", "model", F.transform("e", lambda x: (x / F.col("norm")).cast("float")).alias("v"))
-    return unit.groupBy("vec_id").agg(F.min(F.struct("model", "v")).alias("r")).select("vec_id", "r.model", "r.v")
+    right = rows.join(small_or_plain(usual), "model").where(F.size("e") == F.col("d")).drop("d")
+
+    def normalised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, g in pdf.groupby("model"):
+                x = np.stack([np.asarray(e, dtype=np.float64) for e in g["e"]])
+                n = np.linalg.norm(x, axis=1)
+                good = np.isfinite(n) & (n > 0)
+                unit = (x[good] / n[good][:, None]).astype(np.float32) + np.float32(0.0)
+                yield pd.DataFrame({"vec_id": g["vec_id"].to_numpy()[good], "model": g["model"].to_numpy()[good], "v": [r.tobytes() for r in unit]})
+
+    unit = right.mapInPandas(normalised, "vec_id long, model string, v binary")
+    once = unit.groupBy("vec_id").agg(F.min(F.struct("model", "v")).alias("r")).select("vec_id", "r.model", "r.v")
+    return once.withColumn("h1", F.xxhash64("model", "v")).withColumn("h2", F.xxhash64(F.lit(1), "v", "model"))
 
 
 def _forests(distinct: DataFrame) -> dict[str, list[Tree]]:
     counts = {r["model"]: r["n"] for r in distinct.groupBy("model").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = Window.partitionBy("model").orderBy(F.xxhash64("vec_id"), "vec_id")
-    sample = distinct.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE).select("model", "v").toPandas()
-    return {m: fit_forest(np.stack(g["v"].to_numpy()).astype(np.float32), counts[m]) for m, g in sample.groupby("model")}
+    order = Window.partitionBy("model").orderBy(F.xxhash64("rep"), "rep")
+    chosen = distinct.select("rep", "model").withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE).select("rep")
+    sample = distinct.join(chosen, "rep", "left_semi").select("rep", "model", "v").toPandas().sort_values("rep")
+    return {m: fit_forest(np.frombuffer(b"".join(g["v"]), dtype=np.float32).reshape(len(g), -1).astype(np.float64), counts[m]) for m, g in sample.groupby("model")}
 
 
-def candidate_pairs(distinct: DataFrame, k: int) -> DataFrame:
-    """``q, c, sim``: per distinct vector its best candidates from the leaves it visits, reranked exactly."""
+def candidates(distinct: DataFrame, k: int) -> DataFrame:
+    """``rep, near``: per distinct vector (``rep, model, v``) its k best candidates as (1 - similarity, rep), reranked exactly."""
     forests = distinct.sparkSession.sparkContext.broadcast(_forests(distinct))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for start in range(0, len(pdf), 4096):
-                for model, g in pdf.iloc[start : start + 4096].groupby("model"):
-                    x = np.stack(g["v"].to_numpy()).astype(np.float32)
+            for start in range(0, len(pdf), 2048):
+                for model, g in pdf.iloc[start : start + 2048].groupby("model"):
+                    v = g["v"].to_numpy()
+                    x = np.frombuffer(b"".join(v), dtype=np.float32).reshape(len(g), -1)
                     leaf, own = visited_leaves(forests.value[model], x)
-                    width = leaf.shape[1]
-                    at = np.repeat(np.arange(len(g)), width)
-                    yield pd.DataFrame({"model": model, "leaf": leaf.ravel(), "own": own.ravel(), "vec_id": g["vec_id"].to_numpy()[at], "v": [r.tobytes() for r in x[at]]})
+                    at = np.repeat(np.arange(len(g)), leaf.shape[1])
+                    yield pd.DataFrame({"model": model, "leaf": leaf.ravel(), "own": own.ravel(), "id": g["rep"].to_numpy()[at], "v": v[at]})
 
-    placed = distinct.mapInPandas(place, "model string, leaf long, own boolean, vec_id long, v binary")
+    placed = distinct.select("rep", "model", "v").mapInPandas(place, "model string, leaf long, own boolean, id long, v binary")
     # Leaves beyond a block (unlike the sample, or more rows than the sample can divide) are compared block by block.
     sizes = placed.groupBy("model", "leaf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("own").cast("long")).alias("n_own"))
     sizes = sizes.select("model", "leaf", F.ceil(F.col("n") / BLOCK).cast("int").alias("q_blocks"), F.ceil(F.greatest("n_own", F.lit(1)) / BLOCK).cast("int").alias("c_blocks"))
+    # The leaves are bounded by the sample, whatever the number of rows.
     sized = placed.join(small_or_plain(sizes), ["model", "leaf"])
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    mine = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     single = (F.col("q_blocks") == 1) & (F.col("c_blocks") == 1)
-    queries = sized.withColumn("qb", mine("q_blocks")).withColumn("cb", F.explode(every("c_blocks"))).withColumn("asks", F.lit(True)).withColumn("is", F.col("own") & single)
-    stored = sized.where(F.col("own") & ~single).withColumn("cb", mine("c_blocks")).withColumn("qb", F.explode(every("q_blocks"))).withColumn("asks", F.lit(False)).withColumn("is", F.lit(True))
-    columns = ["model", "leaf", "qb", "cb", "asks", "is", "vec_id", "v"]
+    queries = sized.withColumn("qb", mine("q_blocks")).withColumn("cb", F.explode(every("c_blocks"))).withColumn("asks", F.lit(True)).withColumn("held", F.col("own") & single)
+    held = sized.where(F.col("own") & ~single).withColumn("cb", mine("c_blocks")).withColumn("qb", F.explode(every("q_blocks"))).withColumn("asks", F.lit(False)).withColumn("held", F.lit(True))
+    columns = ["model", "leaf", "qb", "cb", "asks", "held", "id", "v"]
 
     def rerank(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable")
         x = np.frombuffer(b"".join(pdf["v"]), dtype=np.float32).reshape(len(pdf), -1)
-        ids = pdf["vec_id"].to_numpy()
-        asks, stored_rows = np.flatnonzero(pdf["asks"].to_numpy()), np.flatnonzero(pdf["is"].to_numpy())
-        if not len(asks) or len(stored_rows) < 1:
-            return pd.DataFrame({"q": [], "c": [], "sim": []})
-        stored_rows = stored_rows[np.argsort(ids[stored_rows], kind="stable")]
-        c, out = x[stored_rows], []
-        for start in range(0, len(asks), 1024):
+        ids = pdf["id"].to_numpy()
+        asks, kept = np.flatnonzero(pdf["asks"].to_numpy()), np.flatnonzero(pdf["held"].to_numpy())
+        out = []
+        for start in range(0, len(asks) if len(kept) else 0, 1024):
             rows = asks[start : start + 1024]
-            sim = x[rows] @ c.T
-            sim[ids[rows][:, None] == ids[stored_rows][None, :]] = -2.0
-            take = min(k + 1, sim.shape[1])
+            sim = x[rows] @ x[kept].T
+            sim[ids[rows][:, None] == ids[kept][None, :]] = -2.0
+            take = min(k, sim.shape[1])
             top = np.argpartition(-sim, take - 1, axis=1)[:, :take]
-            q = np.repeat(rows, take)
-            s = stored_rows[top.ravel()]
-            exact = np.einsum("nd,nd->n", x[q].astype(np.float64), x[s].astype(np.float64))
-            keep = ids[q] != ids[s]
-            out.append(pd.DataFrame({"q": ids[q][keep], "c": ids[s][keep], "sim": np.round(exact[keep], 9)}))
-        return pd.concat(out)
+            exact = np.einsum("nd,nkd->nk", x[rows].astype(np.float64), x[kept][top].astype(np.float64))
+            other = ids[kept][top]
+            own = other == ids[rows][:, None]
+            out.append(pd.DataFrame({"rep": ids[rows], "near": [[(f, c) for f, c, o in zip(*r) if not o] for r in zip(np.round(1 - exact, 9).tolist(), other.tolist(), own.tolist())]}))
+        return pd.concat(out) if out else pd.DataFrame({"rep": [], "near": []})
 
-    found = queries.select(columns).unionByName(stored.select(columns)).groupBy("model", "leaf", "qb", "cb").applyInPandas(rerank, "q long, c long, sim double")
-    best = Window.partitionBy("q").orderBy(F.desc("sim"), "c")
-    return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
+    found = queries.select(columns).unionByName(held.select(columns)).groupBy("model", "leaf", "qb", "cb").applyInPandas(rerank, "rep long, near array<struct<far:double,rep:long>>")
+    return found.groupBy("rep").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
 
 
 def nearest(vectors: DataFrame, k: int = 5) -> DataFrame:
     """``vec_id, neighbour, sim, rank``: the k most similar others of every usable vector."""
     rows = cut(usable(vectors))
     # Copies: the smallest id stands for all; k + 1 ids are enough for anyone's neighbours.
-    by_copy = Window.partitionBy("model", "v").orderBy("vec_id")
-    members = cut(rows.withColumn("copy", F.row_number().over(by_copy)).where(F.col("copy") <= k + 1).select("model", "v", "vec_id", "copy"))
-    groups = members.groupBy("model", "v").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    by_copy = Window.partitionBy("h1", "h2").orderBy("vec_id")
+    members = rows.withColumn("copy", F.row_number().over(by_copy)).where(F.col("copy") <= k + 1)
+    groups = members.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids"), F.min_by("model", "copy").alias("model"), F.min_by("v", "copy").alias("v"))
     distinct = cut(groups)
-    pairs = cut(candidate_pairs(distinct.select(F.col("rep").alias("vec_id"), "model", "v"), k))
+    found = candidates(distinct, k)
     reps = distinct.select("rep", "ids")
     # What a distinct vector has around it: its own copies first, then the copies of its neighbours.
-    around = pairs.join(reps.withColumnRenamed("rep", "c"), "c").select(F.col("q").alias("rep"), "sim", F.explode("ids").alias("neighbour"))
-    own = reps.where(F.size("ids") > 1).select("rep", F.lit(1.0).alias("sim"), F.explode("ids").alias("neighbour"))
-    by_rank = Window.partitionBy("rep").orderBy(F.desc("sim"), "neighbour")
-    listed = around.unionByName(own).withColumn("k", F.row_number().over(by_rank)).where(F.col("k") <= k + 1)
-    lists = listed.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("far"), "neighbour"))).alias("near"))
+    listed = found.select("rep", F.explode("near").alias("s")).select("rep", F.col("s.far").alias("far"), F.col("s.rep").alias("c"))
+    around = listed.join(reps.withColumnRenamed("rep", "c"), "c").select("rep", F.transform("ids", lambda i: F.struct(F.col("far").alias("far"), i.alias("id"))).alias("near"))
+    own = reps.where(F.size("ids") > 1).select("rep", F.transform("ids", lambda i: F.struct(F.lit(0.0).alias("far"), i.alias("id"))).alias("near"))
+    lists = around.unionByName(own).groupBy("rep").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
     # Every copy gets its distinct vector's list without itself.
-    owners = rows.join(distinct.select("model", "v", "rep"), ["model", "v"]).select("vec_id", "rep")
-    mine = owners.join(lists, "rep").select("vec_id", F.slice(F.filter("near", lambda s: s["neighbour"] != F.col("vec_id")), 1, k).alias("near"))
-    return mine.select("vec_id", F.posexplode("near").alias("at", "s")).select("vec_id", F.col("s.neighbour").alias("neighbour"), (-F.col("s.far")).alias("sim"), (F.col("at") + 1).alias("rank"))
+    owners = rows.select("vec_id", "h1", "h2").join(distinct.select("h1", "h2", "rep"), ["h1", "h2"]).select("vec_id", "rep")
+    mine = owners.join(lists, "rep").select("vec_id", F.slice(F.filter("near", lambda s: s["id"] != F.col("vec_id")), 1, k).alias("near"))
+    return mine.select("vec_id", F.posexplode("near").alias("at", "s")).select("vec_id", F.col("s.id").alias("neighbour"), (1 - F.col("s.far")).alias("sim"), (F.col("at") + 1).alias("rank"))
 
 
 def neighbour_pairs(vectors: DataFrame, k: int = 5) -> DataFrame:

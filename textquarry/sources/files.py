@@ -80,7 +80,7 @@ def read_files(spark: SparkSession, base: str, include: list[str] | None = None,
     """Text files below a folder: ``relative_path, full_path, file_extension, filename_stem, mime_type, size_bytes, tags, text``.
 
     The listing and the contents come from the binary file source, so reading is spread over the cluster; files whose
-    names begin with a dot or underscore are not listed by it. Larger files than the limit, and files that are neither
+    names begin with a dot or underscore, and empty ones, are not read by it. Larger files than the limit, and files that are neither
     text nor PDF, are left out; bytes that aren't UTF-8 are read as Latin-1.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).where(F.col("length") <= max_file_size_mb * (1 << 20))
@@ -90,7 +90,7 @@ def read_files(spark: SparkSession, base: str, include: list[str] | None = None,
     files = crawl_filter(exclude_dirs(files, "relative_path", exclude_directories or []), "relative_path", include, exclude)
     ext = extension_of(F.col("relative_path"))
     utf8 = F.col("content").cast("string")
-    text = F.when(F.is_valid_utf8(utf8), utf8).otherwise(F.decode("content", F.lit("ISO-8859-1")))
+    text = F.when(F.is_valid_utf8(utf8), utf8).otherwise(F.decode("content", "ISO-8859-1"))
     return files.where(route(ext, F.lit(None).cast("string")) == "text").select(
         "relative_path", "full_path", ext.alias("file_extension"), stem_of(F.col("relative_path")).alias("filename_stem"), F.lit("text/plain").alias("mime_type"), F.col("length").alias("size_bytes"), parse_tags(F.lit(tags)).alias("tags"), newlines(text).alias("text")
     )

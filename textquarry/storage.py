@@ -13,6 +13,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _POINTER = "_current.json"
 
@@ -35,14 +36,22 @@ class IndexStore:
     def load(self) -> DataFrame | None:
         """The current version, or None."""
         meta = self.current()
-        return None if meta is None else self.spark.read.parquet(os.path.join(self.path, meta["version"]))
+        return None if meta is None else self._read(meta["version"], meta["schema"])
+
+    def _read(self, version: str, schema: dict) -> DataFrame:
+        # The schema is stored too, so that an empty version can be read.
+        return self.spark.read.schema(T.StructType.fromJson(schema)).parquet(os.path.join(self.path, version))
+
+    def _next_id(self, version: str, schema: dict) -> int:
+        last = self._read(version, schema).agg(F.max("vec_id")).first()[0]
+        return 0 if last is None else last + 1
 
     def save(self, chunks: DataFrame, **meta) -> dict:
         """Write a new version and make it current; older ones beyond ``keep`` are deleted (0 or less keeps all)."""
         version = f"v={time.time_ns()}"
         chunks.write.partitionBy("source_type").parquet(os.path.join(self.path, version))
-        last = self.spark.read.parquet(os.path.join(self.path, version)).agg(F.max("vec_id")).first()[0]
-        return self._point({"version": version, "next_vec_id": 0 if last is None else last + 1, **meta})
+        schema = json.loads(chunks.schema.json())
+        return self._point({"version": version, "schema": schema, "next_vec_id": self._next_id(version, schema), **meta})
 
     def append(self, chunks: DataFrame, **meta) -> dict:
         """A new version with these rows added to the current ones."""
@@ -63,11 +72,10 @@ class IndexStore:
     def restore_previous(self) -> dict | None:
         """Make the newest version before the current one current; None if there is none."""
         meta = self.current()
-        before = [v for v in self.versions() if meta is None or v < meta["version"]]
-        if not before:
+        before = [v for v in self.versions() if meta and v < meta["version"]]
+        if meta is None or not before:
             return None
-        last = self.spark.read.parquet(os.path.join(self.path, before[-1])).agg(F.max("vec_id")).first()[0]
-        return self._point((meta or {}) | {"version": before[-1], "next_vec_id": 0 if last is None else last + 1})
+        return self._point(meta | {"version": before[-1], "next_vec_id": self._next_id(before[-1], meta["schema"])})
 
     def clear(self, files: bool = False) -> None:
         """Forget the current version, and delete the files if asked."""

@@ -16,11 +16,13 @@ STOP_WORDS = (
 ).split()
 
 _SPACE = r"(?U)\s+"
+#: The characters that count as white space.
+BLANKS = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def split_words(c: Column) -> Column:

@@ -6,9 +6,12 @@ Blank texts are set aside row by row instead of failing a batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,13 +28,8 @@ class Embedder(Protocol):
         """``df`` with ``embedding``."""
 
 
-def hashed_word(word: Column) -> Column:
-    """A non-negative number from the first 8 hex digits of the MD5 sum: the same in every engine."""
-    return F.conv(F.left(F.md5(word), F.lit(8)), 16, 10).cast("long")
-
-
 class HashingEmbedder:
-    """Signed counts of hashed words, at length one."""
+    """Signed counts of hashed words, at length one: a word's slot and sign come from the first 8 hex digits of its MD5 sum."""
 
     provider = "hashing"
 
@@ -42,13 +40,20 @@ class HashingEmbedder:
 
     def vector(self, text: Column) -> Column:
         """The embedding of a text column: all zero for texts without words."""
-        hashes = F.transform(split_words(F.lower(text)), hashed_word)
         d = self.dimension
-        zero = F.array_repeat(F.lit(0.0), d)
-        signed = F.transform(hashes, lambda h: F.struct((h % d).cast("int").alias("i"), F.when((h / d).cast("long") % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
-        # One pass over the words per slot of a fixed number of slots.
-        out = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.aggregate(F.filter(signed, lambda x: x["i"] == i), F.lit(0.0), lambda a, x: a + x["s"]))
-        vec = F.when(F.size(hashes) > 0, out).otherwise(zero)
+
+        @F.pandas_udf("array<double>")
+        def slots(words: pd.Series) -> pd.Series:
+            out = []
+            for ws in words:
+                v = np.zeros(d)
+                for w in [] if ws is None else ws:
+                    h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+                    v[h % d] += 1.0 if (h // d) % 2 == 0 else -1.0
+                out.append(v)
+            return pd.Series(out)
+
+        vec = slots(split_words(F.lower(text)))
         return unit(vec) if self.normalize else vec
 
     def embed(self, df: DataFrame, text: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.functions.text import STOP_WORDS, split_words
+from textquarry.runtime import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 MAX_FEATURES, MAX_DF = 10_000, 0.95
@@ -23,10 +24,10 @@ def query_terms(query: str) -> Counter[str]:
     return Counter(query.lower().split())
 
 
-def postings(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """``key, term, tf, dl``: how often a document has a term, and its length in words."""
+def postings(docs: DataFrame, text: str, key: str, terms: list[str] | None = None) -> DataFrame:
+    """``key, term, tf, dl``: how often a document has a term (of these, if given), and its length in words."""
     words = docs.where(F.col(text).isNotNull()).select(key, split_words(F.lower(F.col(text))).alias("_w"))
-    return words.select(key, F.size("_w").cast("long").alias("dl"), F.explode("_w").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return words.select(key, F.size("_w").cast("long").alias("dl"), F.explode(F.filter("_w", lambda w: w.isin(terms)) if terms is not None else F.col("_w")).alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def corpus_stats(docs: DataFrame, text: str) -> tuple[int, float]:
@@ -50,8 +51,7 @@ def bm25(docs: DataFrame, text: str, key: str, query: str, normalize: bool = Tru
     n, average = corpus_stats(docs, text)
     if not n or not asked:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    posted = postings(docs, text, key)
-    terms = term_stats(posted, n)
+    terms = cut(term_stats(postings(docs, text, key), n))  # a row per word of the vocabulary, read twice
     mean = terms.agg(F.avg("idf")).first()[0]
     if mean is None:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
@@ -59,7 +59,7 @@ def bm25(docs: DataFrame, text: str, key: str, query: str, normalize: bool = Tru
     times = F.create_map(*[F.lit(x) for pair in asked.items() for x in pair])
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average)) * times[F.col("term")]
     # One row per query term: bounded by the query.
-    scored = posted.where(F.col("term").isin(list(asked))).join(F.broadcast(wanted), "term").groupBy(key).agg(F.sum(weight).alias("score"))
+    scored = postings(docs, text, key, list(asked)).join(F.broadcast(wanted), "term").groupBy(key).agg(F.sum(weight).alias("score"))
     if normalize:
         best = scored.agg(F.max("score")).first()[0]
         if best and best > 0:
@@ -85,7 +85,7 @@ def tfidf(docs: DataFrame, text: str, key: str, query: str, max_features: int =
     n = rows.count()
     counted = rows.select(key, F.explode(features(text)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     vocabulary = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df") <= max_df * n).orderBy(F.desc("total"), "term").limit(max_features)
-    weighed = vocabulary.select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    weighed = cut(vocabulary.select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")))
     words = [w for w in _words(query) if w not in STOP_WORDS]
     asked = Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
     known = {r["term"]: asked[r["term"]] * r["idf"] for r in weighed.where(F.col("term").isin(list(asked))).collect()} if asked else {}

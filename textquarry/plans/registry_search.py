@@ -11,7 +11,7 @@ from textquarry.operators import keyword, ranking, search_log, vector
 from textquarry.operators.embedding import HashingEmbedder, quarantine_blank
 from textquarry.plans import pipeline
 from textquarry.plans import sql as q
-from textquarry.runtime import table
+from textquarry.runtime import cut, table
 from textquarry.streaming.ingest import windowed_searches
 
 QUERY, K, WEIGHT = "token scheduler cache token release", 10, 0.3
@@ -55,6 +55,7 @@ def _ranked(s, d):
 
 def _batch(s, d):
     v = table(s, d, "chunk_vectors").where("embedding is not null").dropDuplicates(["vec_id"]).withColumn("embedding", unit(F.col("embedding"))).withColumn("space", F.concat_ws("/", "embedding_model", F.size("embedding").cast("string")))
+    v = cut(v)
     out = vector.vector_topk_batch(v, v.where("vec_id % 100 = 0"), 5, group="space")
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"))
 

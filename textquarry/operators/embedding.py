@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.functions.text import split_words, strip
-from textquarry.functions.vectors import unit
 
 
 class Embedder(Protocol):
@@ -40,7 +39,7 @@ class HashingEmbedder:
 
     def vector(self, text: Column) -> Column:
         """The embedding of a text column: all zero for texts without words."""
-        d = self.dimension
+        d, normalize = self.dimension, self.normalize
 
         @F.pandas_udf("array<double>")
         def slots(words: pd.Series) -> pd.Series:
@@ -50,11 +49,11 @@ class HashingEmbedder:
                 for w in [] if ws is None else ws:
                     h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
                     v[h % d] += 1.0 if (h // d) % 2 == 0 else -1.0
-                out.append(v)
-            return pd.Series(out)
+                n = np.linalg.norm(v)
+                out.append(v / n if normalize and n else v)
+            return pd.Series(out, dtype=object)
 
-        vec = slots(split_words(F.lower(text)))
-        return unit(vec) if self.normalize else vec
+        return slots(split_words(F.lower(text)))
 
     def embed(self, df: DataFrame, text: str) -> DataFrame:
         return df.withColumn("embedding", self.vector(F.col(text)).cast("array<float>"))

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from textquarry.config import Config
 from textquarry.engine import Engine
+from textquarry.llm.source_origin import file_origins
 from textquarry.operators import metadata
 from textquarry.runtime import numbered, small_or_plain
 from textquarry.sources import archive
+from textquarry.sources.files import read_files
 from textquarry.storage import IndexStore
 from textquarry.streaming.ingest import append_once, windowed_searches
 
@@ -57,6 +59,30 @@ def test_index_search_and_keep(spark, folder, tree):
     assert not again.reset() and again.reset(confirm=True) and again.chunks() is None and again.search("token") is None
 
 
+def test_every_name_is_crawled(spark, folder):
+    base = os.path.join(folder, "[files]")
+    deep = "/".join(f"d{i}" for i in range(30))
+    names = ["pkg/__init__.py", "_x/a.md", "_x/y/__main__.py", ".github/flow.yml", ".eslintrc.json", "pkg/.gitattributes", "pkg/gen.py", f"{deep}/_utils.py", *(f"m{i}/n/b.py" for i in range(250))]
+    for name in [*names, ".hidden", "_x/c.bin"]:
+        path = os.path.join(base, name)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "w") as f:
+            f.write("# Rules\ngen.py linguist-generated\n" if name.endswith("attributes") else f"value = '{name}'\n")
+    os.symlink(base, os.path.join(base, "pkg/loop"))
+    os.symlink(os.path.join(base, "nowhere"), os.path.join(base, "pkg/dangling.py"))
+    with open(os.path.join(os.fsencode(base), b"caf\xe9.txt"), "w") as f:
+        f.write("x")
+    rows = read_files(spark, base).collect()
+    assert sorted(r["relative_path"] for r in rows) == sorted([*names, "caf\\xe9.txt"])
+    assert all(r["relative_path"] in r["text"] for r in rows if r["relative_path"].endswith(("py", "md")))
+    one = read_files(spark, os.path.join(base, "pkg/__init__.py")).first()
+    assert one["relative_path"] == "__init__.py" and one["full_path"] == os.path.join(base, "pkg/__init__.py")
+    with Engine(spark, Config(index_dir=os.path.join(folder, "index"), embedding_dimension=16)) as engine:
+        assert engine.index_folder(os.path.join(base), "t", include=["pkg/*", "_x/*"])["files"] == 5
+        origins = {r["source_path"]: r["kind"] for r in file_origins(engine.chunks()).collect()}
+        assert origins["pkg/gen.py"] == "generated" and origins["pkg/__init__.py"] is None
+
+
 def test_versions(spark, folder):
     store = IndexStore(spark, os.path.join(folder, "s"), keep=1)
     rows = spark.createDataFrame([(1, "code", "x")], "vec_id long, source_type string, t string")

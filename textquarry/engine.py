@@ -13,7 +13,7 @@ from textquarry.operators.embedding import create_embedder
 from textquarry.plans import pipeline
 from textquarry.runtime import cut
 from textquarry.sources import archive
-from textquarry.sources.files import read_files
+from textquarry.sources.files import list_files, read_files
 from textquarry.storage import IndexStore
 
 #: A search returns at most so many results.
@@ -49,17 +49,18 @@ class Engine:
             raise ValueError("tags are required")
         if not os.path.exists(base):
             raise FileNotFoundError(base)
-        files = read_files(self.spark, base, include, exclude, exclude_directories, self.config.max_file_size_mb, tags)
+        wanted = (base, include, exclude, exclude_directories, self.config.max_file_size_mb)
+        names, files = list_files(self.spark, *wanted), read_files(self.spark, *wanted, tags)
         old = self.chunks()
         start = 0 if old is None else (old.agg(F.max("vec_id")).first()[0] if not old.isEmpty() else -1) + 1
         new, blank = pipeline.index_files(files, self.config, self.embedder, start)
         new = cut(new)
         if old is not None and upsert:
-            old = metadata.remove_chunks(old, files.select(F.col("relative_path").alias("source_path")), "source_path")
+            old = metadata.remove_chunks(old, names.select(F.col("relative_path").alias("source_path")), "source_path")
         self._unsaved = new if old is None else old.select(new.columns).unionByName(new)
         if self.config.auto_persist:
             self.save()
-        return {"files": files.count(), "chunks": new.count(), "blank_chunks": blank.count()}
+        return {"files": names.count(), "chunks": new.count(), "blank_chunks": blank.count()}
 
     def search(self, query: str, k: int = 5, hybrid: bool | None = None) -> DataFrame | None:
         """Explained results; None for a blank query or an empty index. ``k`` below 1 means 5; more than 50 means 50."""

@@ -6,7 +6,11 @@ All functions take and return DataFrames or columns; nulls in, nulls out, and no
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
+from functools import partial
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,8 @@ TEXT_EXTENSIONS = (
 ).split()
 # Extensions that make a chunk code.
 CODE_EXTENSIONS = "py js ts jsx tsx java cpp c h hpp cs go rs swift kt scala rb php".split()
+#: Directories from which a folder is walked in parallel, names handed on at once, bytes of content handed on at once.
+WALKS, LISTED_ROWS, LOADED_BYTES = 200, 10_000, 32 << 20
 
 
 def crawl_filter(files: DataFrame, path: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
@@ -76,21 +82,85 @@ def clean_markdown(text: Column) -> Column:
     return strip(F.array_join(lines, "\n"))
 
 
+def _shown(path: bytes) -> str:
+    """A path as text; bytes that aren't UTF-8 are escaped."""
+    return path.decode("utf-8", "backslashreplace")
+
+
+def _subdirectories(directory: bytes) -> list[bytes]:
+    with os.scandir(directory) as entries:
+        return sorted(e.path for e in entries if e.is_dir(follow_symlinks=False))
+
+
+def _listed(root: bytes, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The regular files in each directory, and below it if it is ``deep``; linked files count, linked directories aren't entered."""
+    columns = ["at", "full_path", "relative_path", "length"]
+    rows: list[tuple] = []
+    for pdf in batches:
+        for directory, deep in zip(pdf["directory"], pdf["deep"]):
+            todo = [bytes(directory)]
+            while todo:
+                here = todo.pop()
+                if deep:
+                    todo += _subdirectories(here)
+                with os.scandir(here) as entries:
+                    for e in entries:
+                        if e.is_file():
+                            rows.append((e.path, _shown(e.path), _shown(os.path.relpath(e.path, root)), e.stat().st_size))
+                            if len(rows) == LISTED_ROWS:
+                                yield pd.DataFrame(rows, columns=columns)
+                                rows = []
+    yield pd.DataFrame(rows, columns=columns)
+
+
+def _loaded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The listed files with their bytes, a bounded number of bytes at a time."""
+    for pdf in batches:
+        start, held, contents = 0, 0, []
+        for n, path in enumerate(pdf["at"], 1):
+            with open(bytes(path), "rb") as f:
+                contents.append(f.read())
+            held += len(contents[-1])
+            if held >= LOADED_BYTES or n == len(pdf):
+                yield pdf.iloc[start:n].assign(content=contents)
+                start, held, contents = n, 0, []
+
+
+def list_files(spark: SparkSession, base: str, include: list[str] | None = None, exclude: list[str] | None = None, exclude_directories: list[str] | None = None, max_file_size_mb: int = 10) -> DataFrame:
+    """The text files below a local (or everywhere mounted) folder, or the one file: ``at, full_path, relative_path, length``.
+
+    Hidden and underscore names are listed like all others; Spark's own sources skip them. The driver looks for directories
+    only, and for no more than are needed to spread the walk over tasks. Empty files, larger ones than the limit, and
+    those that are neither text nor attribute files, are left out.
+    """
+    root = os.fsencode(os.path.abspath(re.sub(r"^file:/*", "/", base)))
+    schema = "at binary, full_path string, relative_path string, length long"
+    if os.path.isfile(root):
+        files = spark.createDataFrame([(root, _shown(root), _shown(os.path.basename(root)), os.path.getsize(root))], schema)
+    else:
+        done, todo = [], [root]
+        while todo and len(todo) < WALKS:
+            done, todo = done + todo, [d for t in todo for d in _subdirectories(t)]
+        walks = spark.createDataFrame([(d, False) for d in done] + [(d, True) for d in todo], "directory binary, deep boolean")
+        files = walks.repartition(2 * spark.sparkContext.defaultParallelism, "directory").mapInPandas(partial(_listed, root), schema)
+    files = files.where(F.col("length").between(1, max_file_size_mb * (1 << 20)))
+    files = crawl_filter(exclude_dirs(files, "relative_path", exclude_directories or []), "relative_path", include, exclude)
+    mime = F.when(F.substring_index("relative_path", "/", -1) == ".gitattributes", "text/plain")
+    return files.where(route(extension_of(F.col("relative_path")), mime) == "text")
+
+
 def read_files(spark: SparkSession, base: str, include: list[str] | None = None, exclude: list[str] | None = None, exclude_directories: list[str] | None = None, max_file_size_mb: int = 10, tags: str = "") -> DataFrame:
     """Text files below a folder: ``relative_path, full_path, file_extension, filename_stem, mime_type, size_bytes, tags, text``.
 
-    The listing and the contents come from the binary file source, so reading is spread over the cluster; files whose
-    names begin with a dot or underscore, and empty ones, are not read by it. Larger files than the limit, and files that are neither
-    text nor PDF, are left out; bytes that aren't UTF-8 are read as Latin-1.
+    The files of ``list_files``, read in tasks; bytes that aren't UTF-8 are read as Latin-1.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).where(F.col("length") <= max_file_size_mb * (1 << 20))
-    root = os.path.abspath(base).rstrip("/") + "/"
-    path = F.regexp_replace("path", r"^file:/*", "/")
-    files = raw.select(path.alias("full_path"), "length", "content").withColumn("relative_path", F.when(F.startswith("full_path", F.lit(root)), F.substr("full_path", F.lit(len(root) + 1))).otherwise(F.substring_index("full_path", "/", -1)))
-    files = crawl_filter(exclude_dirs(files, "relative_path", exclude_directories or []), "relative_path", include, exclude)
+    listed = list_files(spark, base, include, exclude, exclude_directories, max_file_size_mb)
+    # A fixed number of tasks: by the size of the names alone, adaptive execution would read all files in one.
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    files = listed.repartition(tasks, "full_path").mapInPandas(_loaded, "at binary, full_path string, relative_path string, length long, content binary")
     ext = extension_of(F.col("relative_path"))
     utf8 = F.col("content").cast("string")
     text = F.when(F.is_valid_utf8(utf8), utf8).otherwise(F.decode("content", "ISO-8859-1"))
-    return files.where(route(ext, F.lit(None).cast("string")) == "text").select(
+    return files.select(
         "relative_path", "full_path", ext.alias("file_extension"), stem_of(F.col("relative_path")).alias("filename_stem"), F.lit("text/plain").alias("mime_type"), F.col("length").alias("size_bytes"), parse_tags(F.lit(tags)).alias("tags"), newlines(text).alias("text")
     )

@@ -3,10 +3,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from textquarry.llm.fm_index import FMIndex
-from textquarry.llm.leakage import find_leaks, leaked_items, removal_spans, words_of
+from textquarry.llm.leakage import best_chain, find_leaks, leaked_items, removal_spans, words_of
 
 ITEM = "Read the passage and choose the best answer. While Ebr moved the trial, 61 formal crates behind Grigorin almost covered one injunction. Iskwick counts 50 rows of charter, so one precedent fills 15 pages whenever Grimond crossed another first."
 FILL = "The table covered the window during the long break. "
+OTHER = "Nobody sings under cold water here. "
 
 
 @settings(max_examples=60, deadline=None)
@@ -45,3 +46,35 @@ def test_edge_cases(spark):
     docs, twice = frames(spark, [(1, ITEM, None, None), (1, ITEM, None, None)], [(1, ITEM), (2, ITEM)])
     assert {tuple(r) for r in leaked_items(docs, twice).collect()} == {(1, 1), (1, 2)}
     assert words_of("Café café &eacute;té \\u00e9t") == ["café", "café", "été", "ét"]
+
+
+def test_runs_far_apart(spark):
+    words = ITEM.split()
+    first, second = " ".join(words[9:19]), " ".join(words[25:35])
+    far, farther = OTHER * 60, OTHER * 16_800  # 360 and 100,800 words: the latter crosses windows
+    variants = {1: OTHER + first + " " + far + second + " " + OTHER, 2: OTHER + second + " " + far + first + " " + OTHER, 3: OTHER + first + " " + far, 4: first + " " + farther + second, 5: first + " " + far + first, 6: OTHER * 16_665 + " ".join(words[9:35])}
+    docs, items = frames(spark, [(i, t, None, None) for i, t in variants.items()])
+    found = {r["doc_id"]: r["coverage"] for r in find_leaks(docs, items).collect()}
+    assert set(found) == {1, 4, 6} and found[1] == found[4] == round(20 / len(words_of(ITEM)), 6)
+    spans = {i: [] for i in found}
+    for r in removal_spans(docs, items).orderBy("doc_id", "start_char").collect():
+        spans[r["doc_id"]].append(variants[r["doc_id"]][r["start_char"] : r["end_char"]])
+    assert spans[1] == spans[4] == [first.rstrip(".,"), second.rstrip(".,")]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 6), st.integers(0, 14)), max_size=6))
+def test_best_chain_is_best(drawn):
+    runs = sorted({(b, b + n, n, a, a + n) for b, n, a in drawn})
+    want = 0
+    for mask in range(1 << len(runs)):
+        end, at, words = 0, 0, 0
+        for r in (r for j, r in enumerate(runs) if mask >> j & 1):
+            fresh = r[2] - max(0, at - r[3])
+            if r[0] < end or fresh <= 0:
+                break
+            end, at, words = r[1], r[4], words + fresh
+        else:
+            want = max(want, words)
+    words, chain = best_chain(20, runs)
+    assert words == want and chain == sorted(chain)

@@ -3,16 +3,17 @@
 Texts are read as words without case, mark-up, accents of form, zero-width characters and escapes. The documents of a
 task are indexed in shards of bounded size (an FM-index over word numbers; words of no item are one symbol); all phrases
 of three words of all items are searched backwards at once, and the rare ones are located. Where an item has enough of
-them close together, its words are aligned with the passage, in order, and the matched runs give the coverage and the
-spans to remove.
+them in a text, its words are aligned with each passage that has some, in order, and the matched runs, near each other or
+far apart, give the coverage and the spans to remove.
 
 The work needs no shuffle: shards are formed within the tasks that read the table. Longer texts are indexed in
-overlapping windows. Null and blank texts give no row; copies of a leaking document leak too; items shorter than three
+overlapping windows, whose finds are put together before anything is aligned. Null and blank texts give no row; copies of a leaking document leak too; items shorter than three
 words are ignored. The items, a fixed and small table, are sent to every task; their size is checked.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 import unicodedata
@@ -89,34 +90,80 @@ class Items:
         self.need = [max(2, int(0.12 * len(w))) for w in self.words]
 
 
-def matched_runs(item: list[int], passage: list[int]) -> list[tuple[int, int, int]]:
-    """(start in the passage, end, matched words) of the runs in which the passage gives the item's words in order."""
+Run = tuple[int, int, int, int, int]
+
+
+def matched_runs(item: list[int], passage: list[int]) -> list[Run]:
+    """(start in the passage, end, matched words, start in the item, end) of the runs in which the passage gives the item's words in order."""
     blocks = [b for b in SequenceMatcher(None, item, passage, autojunk=False).get_matching_blocks() if b.size]
     runs: list[list[int]] = []
     for b in blocks:
-        if runs and b.a - runs[-1][3] <= GAP and b.b - runs[-1][1] <= GAP:
-            runs[-1][1], runs[-1][3] = b.b + b.size, b.a + b.size
+        if runs and b.a - runs[-1][4] <= GAP and b.b - runs[-1][1] <= GAP:
+            runs[-1][1], runs[-1][4] = b.b + b.size, b.a + b.size
             runs[-1][2] += b.size
         else:
-            runs.append([b.b, b.b + b.size, b.size, b.a + b.size])
-    kept = sorted((r for r in runs if r[2] >= RUN_WORDS), key=lambda r: -r[2])[:RUNS]
-    return sorted((r[0], r[1], r[2]) for r in kept)
+            runs.append([b.b, b.b + b.size, b.size, b.a, b.a + b.size])
+    return [(r[0], r[1], r[2], r[3], r[4]) for r in runs if r[2] >= RUN_WORDS]
+
+
+def best_chain(length: int, runs: list[Run]) -> tuple[int, list[Run]]:
+    """(words, runs) of the few runs that together give most of an item of ``length`` words, in order in text and item.
+
+    Where the next run repeats words of the item that the chain already has, these count once.
+    """
+    runs = sorted(set(runs))
+    best = np.full((RUNS + 1, length + 1), -1, dtype=np.int64)  # words of a chain of k runs that ends at a word of the item
+    last = np.full((RUNS + 1, length + 1), -1, dtype=np.int64)  # its last run
+    best[0, 0] = 0
+    behind = np.full((len(runs), RUNS + 1), -1, dtype=np.int64)
+    open_: list[tuple[int, int, np.ndarray]] = []  # by end: runs that may not be continued yet
+    steps = np.arange(length + 1)
+
+    def close(upto: float) -> None:
+        while open_ and open_[0][0] <= upto:
+            _, j, words = heapq.heappop(open_)
+            end = runs[j][4]
+            better = words > best[1:, end]
+            best[1:, end][better], last[1:, end][better] = words[better], j
+
+    for j, (start, end, size, a, b) in enumerate(runs):
+        close(start)
+        fresh = size - np.maximum(0, steps[:b] - a)
+        gain = np.where((best[:-1, :b] >= 0) & (fresh > 0), best[:-1, :b] + fresh, -1)
+        at = gain.argmax(axis=1)
+        behind[j, 1:] = last[np.arange(RUNS), at]
+        heapq.heappush(open_, (end, j, gain[np.arange(RUNS), at]))
+    close(float("inf"))
+    k, at = np.unravel_index(best.argmax(), best.shape)
+    words, chain, j = int(best[k, at]), [], int(last[k, at])
+    while j >= 0:
+        chain.append(runs[j])
+        j, k = int(behind[j, k]), k - 1
+    return words, chain[::-1]
 
 
 _LEAKS = "doc_id long, item_id long, coverage double, spans array<struct<start_char:int,end_char:int>>"
 
 
-def _shard_leaks(items: Items, docs: list[tuple[int, str, list[int], int]]) -> Iterator[tuple]:
-    """Leaks of a shard of (doc_id, text, word numbers, words before this window)."""
+class _Text:
+    """A text of a task, with what its windows gave so far: the (word, place in the item) of the phrases of each item."""
+
+    def __init__(self, doc_id: int, text: str, numbers: list[int]):
+        self.doc_id, self.text, self.numbers = doc_id, text, numbers
+        self.found: dict[int, set[tuple[int, int]]] = defaultdict(set)
+
+
+def _search(items: Items, windows: list[tuple[_Text, int]]) -> None:
+    """Add the phrases found in the windows (text, first word) of a shard to their texts."""
     kept: list[np.ndarray] = []
     spots: list[np.ndarray] = []
     owner: list[np.ndarray] = []
-    for d, (_, _, numbers, _) in enumerate(docs):
-        a = np.array(numbers + [0], dtype=np.int64)
+    for d, (text, start) in enumerate(windows):
+        a = np.array(text.numbers[start : start + WINDOW_WORDS] + [0], dtype=np.int64)
         # Foreign words in a row are one symbol.
         use = np.flatnonzero((a > 0) | (np.concatenate([[1], a[:-1]]) > 0))
         kept.append(a[use])
-        spots.append(use)
+        spots.append(use + start)
         owner.append(np.full(len(use), d))
     tokens, spot, own = np.concatenate(kept), np.concatenate(spots), np.concatenate(owner)
     index = FMIndex(tokens, len(items.number) + 1)
@@ -128,31 +175,42 @@ def _shard_leaks(items: Items, docs: list[tuple[int, str, list[int], int]]) -> I
     which = np.repeat(hit, times)
     rows = np.repeat(low[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     at = index.locate(rows)
-    found: dict[tuple[int, int], list[int]] = defaultdict(list)
     for phrase, d, w in zip(which.tolist(), own[at].tolist(), spot[at].tolist()):
-        for i, _ in items.places[phrase]:
-            found[(d, i)].append(w)
-    for (d, i), positions in found.items():
-        if len(positions) < items.need[i]:
+        for i, p in items.places[phrase]:
+            windows[d][0].found[i].add((w, p))
+
+
+def _text_leaks(items: Items, text: _Text) -> Iterator[tuple]:
+    """Leaks of a text all windows of which were searched."""
+    numbers = text.numbers
+    for i, found in text.found.items():
+        if len(found) < items.need[i]:
             continue
-        doc_id, text, numbers, before = docs[d]
         item = items.words[i]
-        positions.sort()
+        positions = sorted(w for w, _ in found)
         reach = 2 * len(item)
         groups, start = [], positions[0]
         for p, q in zip(positions, positions[1:] + [positions[-1] + 10 * reach]):
             if q - p > reach:
                 groups.append((max(0, start - reach), min(len(numbers), p + reach)))
                 start = q
-        best: tuple[float, list] = (0.0, [])
+        best: tuple[int, list] = (0, [])
+        every: list[Run] = []
         for a, b in groups:
-            runs = matched_runs(item, numbers[a:b])
-            cover = sum(r[2] for r in runs) / len(item)
-            if cover > best[0]:
-                best = (cover, [(a + r[0] + before, a + r[1] + before) for r in runs])
-        if best[0] >= COVERAGE:
-            places = placed_words(text)
-            yield doc_id, items.ids[i], round(best[0], 6), [{"start_char": places[a][0], "end_char": places[b - 1][1]} for a, b in best[1]]
+            runs = [(a + r[0], a + r[1], *r[2:]) for r in matched_runs(item, numbers[a:b])]
+            every += runs
+            few = sorted(runs, key=lambda r: -r[2])[:RUNS]
+            words = sum(r[2] for r in few)
+            if words > best[0]:
+                best = (words, sorted(few))
+        if len(groups) > 1 and best[0] < len(item):
+            # Runs far apart: together if they give more than the best passage alone.
+            chain = best_chain(len(item), every)
+            best = chain if chain[0] > best[0] else best
+        cover = best[0] / len(item)
+        if cover >= COVERAGE:
+            places = placed_words(text.text)
+            yield text.doc_id, items.ids[i], round(cover, 6), [{"start_char": places[r[0]][0], "end_char": places[r[1] - 1][1]} for r in best[1]]
 
 
 def find_leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
@@ -166,21 +224,35 @@ def find_leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     def leaks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items = Items(shared.value)
         number = items.number
-        docs: list = []
+        windows: list[tuple[_Text, int]] = []
+        whole: list[_Text] = []
         total = 0
         columns = ["doc_id", "item_id", "coverage", "spans"]
+
+        def shard() -> pd.DataFrame:
+            """Search the windows; the leaks of the texts that end in them. The one still being read stays."""
+            _search(items, windows)
+            rows = [row for t in whole for row in _text_leaks(items, t)]
+            windows.clear()
+            whole.clear()
+            return pd.DataFrame(rows, columns=columns)
+
+        if not len(items.phrases):
+            return
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                numbers = [number.get(w, 0) for w in words_of(text)]
-                for start in range(0, max(1, len(numbers) - 1000), WINDOW_WORDS - 1000):
-                    part = numbers[start : start + WINDOW_WORDS]
-                    docs.append((doc_id, text, part, start))
-                    total += len(part)
+                t = _Text(doc_id, text, [number.get(w, 0) for w in words_of(text)])
+                starts = range(0, max(1, len(t.numbers) - 1000), WINDOW_WORDS - 1000)
+                for start in starts:
+                    windows.append((t, start))
+                    total += min(WINDOW_WORDS, len(t.numbers) - start)
+                    if start == starts[-1]:
+                        whole.append(t)
                     if total >= SHARD_WORDS:
-                        yield pd.DataFrame(list(_shard_leaks(items, docs)), columns=columns)
-                        docs, total = [], 0
-        if docs and len(items.phrases):
-            yield pd.DataFrame(list(_shard_leaks(items, docs)), columns=columns)
+                        yield shard()
+                        total = 0
+        if windows:
+            yield shard()
 
     rows = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(leaks, _LEAKS)
     return rows

@@ -1,6 +1,6 @@
 import pytest
 
-from textquarry.llm.scan_repair import apply_repairs, defects, plain, repair_cost, repair_pages
+from textquarry.llm.scan_repair import apply_repairs, defects, plain, repair_candidates, repair_cost, repair_pages
 
 CLEAN = "The modern morning during the autumn covered the table, and the hand-made window filled another afternoon while the bridge carried every visitor.\n" * 8
 PAGES = [
@@ -19,6 +19,14 @@ def test_costs():
     assert repair_cost("cat", "dog") > 1 and plain("ﬁlled") == "filled" and plain("heávy") == "heavy" and plain("a9a!nst") == "against"
 
 
+def test_candidates_of_wide_misreadings(spark):
+    stands_for = {"tlie": "the", "rny": "my", "rnay": "may", "clo": "do", "tbc": "the", "rnornentum": "momentum", "rnornenturn": "momentum", "moming": "morning", "burnt": None}
+    right = sorted({w for w in stands_for.values() if w})
+    words = spark.createDataFrame([(w, 100, 0) for w in right] + [(w, 1, 1) for w in stands_for], "word string, n long, paged long")
+    got = {(r["read"], r["fixed"]) for r in repair_candidates(words).collect()}
+    assert got == {(r, f) for r, f in stands_for.items() if f}
+
+
 def test_defects(chunks):
     df = chunks([(0, "r/a.md", CLEAN, 0)] + [(i + 1, "r/scans/box.pdf", t, 0) for i, t in enumerate(PAGES)] + [(9, "r/docs/report.pdf", CLEAN, 0)])
     got = rows(df)

@@ -2,7 +2,7 @@
 
 * A frequency lexicon and bigram counts are taken from all prose of the collection.
 * Words of page-wise files that the lexicon makes doubtful meet it through a symmetric-delete index: both sides are
-  expanded by deleting up to two characters, and equal remainders are joined. A weighted edit distance in which typical
+  expanded by deleting up to two characters, and by undoing typical misreadings, and equal remainders are joined. A weighted edit distance in which typical
   misreadings are cheap, the frequency and the neighbouring words pick the repair.
 * Lines that hold nothing but a page number or a running title are told from the body by their form and by their
   recurrence in the file; two halves of a word are joined if the lexicon prefers the whole to a hyphenated compound.
@@ -97,6 +97,19 @@ def deletions(word: str, most: int = 2) -> set[str]:
     return out
 
 
+_WIDE = {a: b for pair in _CONFUSIONS for a, b in (pair, pair[::-1]) if len(a) > len(b)}
+_ALIKE = str.maketrans("ethi", "cfbl")
+
+
+def folded(word: str, most: int = 3) -> set[str]:
+    """Forms in which any misreadings within the cost (three at most) agree: some letter pairs read as one letter, letters taken for each other as one."""
+    out = level = {(word, 0)}
+    for _ in range(most):
+        level = {(w[:i] + _WIDE[w[i : i + 2]] + w[i + 2 :], i + 1) for w, start in level for i in range(start, len(w) - 1) if w[i : i + 2] in _WIDE}
+        out = out | level
+    return {"=" + w.translate(_ALIKE) for w, _ in out}
+
+
 def _lines(text: str) -> list[str]:
     return [l.rstrip("\r") for l in text.split("\n")]
 
@@ -144,7 +157,7 @@ def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for at in range(0, len(pdf), 2000):
             part = pdf.iloc[at : at + 2000]
             # Remainders travel as hashes; a pair that only a hash brings together fails the distance.
-            rows = [(w, n, xxhash.xxh3_64_intdigest(d) - (1 << 63)) for w, n in zip(part["word"], part["n"]) for d in deletions(plain(w))]
+            rows = [(w, n, xxhash.xxh3_64_intdigest(d) - (1 << 63)) for w, n in zip(part["word"], part["n"]) for d in deletions(plain(w)) | folded(plain(w))]
             yield pd.DataFrame(rows, columns=["word", "n", "rest"])
 
 
@@ -165,7 +178,7 @@ def repair_candidates(words: DataFrame) -> DataFrame:
     doubtful = letters.where((F.col("paged") > 0) & ~F.col("word").rlike(_ORDINAL.pattern) & F.col("word").rlike(r"\p{L}.*\p{L}")).select("word", "n").mapInPandas(_expand, _DELETES)
     l, d = lexicon.select(F.col("word").alias("fixed"), F.col("n").alias("n_fixed"), "rest"), doubtful.select(F.col("word").alias("read"), F.col("n").alias("n_read"), "rest")
     # A remainder shared by much of the lexicon can't be hot: every pair must also differ by a factor of MIN_RATIO.
-    met = d.join(l, "rest").where((F.col("fixed") != F.col("read")) & (F.col("n_fixed") >= MIN_RATIO * F.col("n_read")) & (F.abs(F.length("fixed") - F.length("read")) <= 2)).select("read", "fixed", "n_fixed").distinct()
+    met = d.join(l, "rest").where((F.col("fixed") != F.col("read")) & (F.col("n_fixed") >= MIN_RATIO * F.col("n_read")) & (F.abs(F.length("fixed") - F.length("read")) <= 3)).select("read", "fixed", "n_fixed").distinct()
 
     @F.pandas_udf("double")
     def cost(read: pd.Series, fixed: pd.Series) -> pd.Series:

@@ -46,6 +46,13 @@ def test_page_numbers(chunks):
     assert rows(marked) == {(1, 2, "page_no", "")}
 
 
+def test_running_titles_recur_and_section_headings_stay(chunks):
+    page = "The window covered the table.\n\n{}\n\nAnother afternoon covered the bridge.\n\n{}"
+    heads = ["Linn Modern Annual", "Linn Modcrn Annual", "Linn Moclern Annual", "Coverage Of Tables"]
+    got = rows(chunks([(0, "r/a.md", CLEAN, 0)] + [(i, "r/scans/p.pdf", page.format(h, i + 40), 0) for i, h in enumerate(heads, 1)] + [(9, "r/scans/p.pdf", "45\n\nAppendix Of Notes\n\nThe window covered the table.", 0)]))
+    assert {r for r in got if r[2] == "header"} == {(i, 3, "header", "") for i in (1, 2, 3, 9)}
+
+
 def test_edge_cases(chunks):
     assert rows(chunks([])) == set()
     df = chunks([(1, None, "p. 3", 0), (2, "r/a.pdf", None, 0), (3, "r/a.pdf", "", 0), (4, "r/b.pdf", "p. 3", 0), (4, "r/b.pdf", "p. 3", 0), (5, "r/c.pdf", "word " * 50_000, 0), (None, "r/d.pdf", "p. 4", 0)])

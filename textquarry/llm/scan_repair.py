@@ -216,6 +216,9 @@ def page_signs(text: str, trusted: frozenset[str]) -> list[tuple]:
     bare = [bool(_BARE.match(l.strip())) for l in lines]
     filled = [i for i, l in enumerate(lines) if l.strip()]
     rank = {i: k for k, i in enumerate(filled)}
+    # The outermost lines that are no page numbers.
+    words = [i for i in filled if not (bare[i] or _MARKED.match(lines[i].strip()) or _ROMAN.match(lines[i].strip()))]
+    top, bottom = (words[0], words[-1]) if words else (-1, len(lines))
     out: list[tuple] = []
     skip = ""
     for i in filled:
@@ -248,7 +251,7 @@ def page_signs(text: str, trusted: frozenset[str]) -> list[tuple]:
             skip = ""
             continue
         elif short and _title(line):
-            out.append((i + 1, "title", plain(line), "edge" if edge else "", "", "", None))
+            out.append((i + 1, "title", plain(line), "end" if i <= top or i >= bottom else "edge" if edge else "", "", "", None))
             continue
         tokens = _WORD.findall(lines[i])
         if "!" in line or "|" in line:
@@ -294,11 +297,16 @@ def defects(chunks: DataFrame) -> DataFrame:
     plain_numbers = found.where("kind in ('bare', 'roman')").join(near, ["source_path", "value"], "left_semi")
     page_no = found.where("kind = 'marked'").select("source_path", "vec_id", "line_no").unionByName(plain_numbers.select("source_path", "vec_id", "line_no"))
 
-    # Running titles: with a number, or at an edge and recurring in the file, or at an edge of a file with page numbers.
-    head = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace("word", "rn", "m"), "cl", "d"), "vv|ii", "u"), "eftbhli", "cttttii")
-    titles = found.where("kind in ('title', 'combined')").withColumn("head", head)
-    often = titles.groupBy("source_path", "head").agg(F.count(F.lit(1)).alias("times"))
-    titled = titles.join(often, ["source_path", "head"])
+    # Running titles: with a number, or the outermost line of a chunk, or at another edge and recurring in the file, misread or not.
+    titles = found.where("kind in ('title', 'combined')")
+
+    @F.pandas_udf("array<string>")
+    def heads(word: pd.Series) -> pd.Series:
+        return word.map(lambda w: sorted(folded(w)))
+
+    head = titles.select("source_path", "vec_id", "word", F.explode(heads("word")).alias("head"))
+    often = head.groupBy("source_path", "head").agg(F.count_distinct("vec_id").alias("times")).where("times > 1")
+    recurring = head.join(often, ["source_path", "head"], "left_semi").select("source_path", "word").distinct()
 
     # Broken words, and what the lexicon says of their two readings.
     whole = words.select(F.col("word"), F.col("n").alias("n_whole"))
@@ -308,9 +316,10 @@ def defects(chunks: DataFrame) -> DataFrame:
         .where(F.coalesce("n_whole", F.lit(0)) >= F.coalesce("n_alt", F.lit(0)))
     )
     # A file is scanned if it has page numbers, or a broken word that is whole in the lexicon.
-    signs_of = page_no.select("source_path").unionByName(titled.where("kind = 'combined'").select("source_path")).unionByName(broken.where(F.col("n_whole") >= MIN_COUNT).select("source_path"))
+    signs_of = page_no.select("source_path").unionByName(titles.where("kind = 'combined'").select("source_path")).unionByName(broken.where(F.col("n_whole") >= MIN_COUNT).select("source_path"))
     scanned = signs_of.distinct()
-    header = titled.where((F.col("kind") == "combined") | ((F.col("alt") == "edge") & (F.col("times") >= 1))).select("source_path", "vec_id", "line_no")
+    place = ["source_path", "vec_id", "line_no"]
+    header = titles.where("kind = 'combined' or alt = 'end'").select(place).unionByName(titles.where("alt = 'edge'").join(recurring, ["source_path", "word"], "left_semi").select(place))
 
     # Repairs: the best candidate by cost, frequency and neighbours.
     doubtful = found.where("kind = 'word'").select("source_path", "vec_id", "line_no", F.lit("glyph").alias("defect"), "word", F.col("alt").alias("read"), "before", "after")

@@ -44,3 +44,17 @@ def test_edge_cases(chunks):
     df = chunks(rows)
     assert [r[0] for r in not_hand_written(df).collect()] == ["r/c.ts"]
     assert {r["vec_id"] for r in hand_written_chunks(df).collect()} >= {2, 3, 5}
+
+
+def test_attribute_files_of_a_crawled_folder(spark, tmp_path):
+    import os
+
+    from textquarry.config import Config
+    from textquarry.engine import Engine
+
+    for name, text in {"pkg/.gitattributes": "# Rules\ngen.py linguist-generated\n", "pkg/gen.py": "value = 1\n", "pkg/__init__.py": "value = 2\n"}.items():
+        os.makedirs(tmp_path / "f/pkg", exist_ok=True)
+        (tmp_path / "f" / name).write_text(text)
+    with Engine(spark, Config(index_dir=str(tmp_path / "index"), embedding_dimension=16)) as engine:
+        engine.index_folder(str(tmp_path / "f"), "t")
+        assert kinds(engine.chunks()) == {"pkg/gen.py": "generated", "pkg/__init__.py": None}

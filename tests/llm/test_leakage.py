@@ -1,7 +1,9 @@
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from textquarry.llm import leakage
 from textquarry.llm.fm_index import FMIndex
 from textquarry.llm.leakage import best_chain, find_leaks, leaked_items, removal_spans, words_of
 
@@ -78,3 +80,39 @@ def test_best_chain_is_best(drawn):
             want = max(want, words)
     words, chain = best_chain(20, runs)
     assert words == want and chain == sorted(chain)
+
+
+@pytest.mark.parametrize("number", [8, 50, 500])
+def test_variants_of_one_item_are_all_found(spark, number):
+    words = ITEM.split()
+    items = [(i, " ".join(f"w{i}" if k == 20 else w for k, w in enumerate(words))) for i in range(number)]
+    docs, table = frames(spark, [(1, items[3][1], None, None), (2, " ".join(words[:9]), None, None), (3, FILL * 5, None, None)], items)
+    assert {(r["doc_id"], r["item_id"]) for r in leaked_items(docs, table).collect()} == {(1, i) for i in range(number)}
+
+
+def test_a_shared_instruction_is_no_leak(spark):
+    items = [(i, "Read the passage and choose the best answer. " + " ".join(f"{a}{i}" for a in "kor lum tas ven dar mik sol ruf pel gan tir bos".split())) for i in range(60)]
+    docs, table = frames(spark, [(i, items[i][1], None, None) for i in range(0, 60, 7)], items)
+    assert {(r["doc_id"], r["item_id"]) for r in leaked_items(docs, table).collect()} == {(i, i) for i in range(0, 60, 7)}
+
+
+def test_long_item_over_the_edges_of_windows(spark, monkeypatch):
+    item = " ".join(f"v{i * 7919 % 3001}" for i in range(3000))
+    other = "Nobody sings under cold water here. "
+    docs, table = frames(spark, [(1, other * 16_450 + item + " " + other * 10, None, None), (2, other * 16_665 + " ".join(item.split()[500:1750]), None, None)], [(1, item)])
+    found = [(r["doc_id"], r["coverage"], len(r["spans"])) for r in find_leaks(docs, table).orderBy("doc_id").collect()]
+    assert found == [(1, 1.0, 1), (2, round(1250 / 3000, 6), 1)]
+
+
+def test_items_in_parts_and_scattered_words(spark, monkeypatch):
+    words = [f"u{i}" for i in range(1200)]
+    broken = [w if i % 7 else "x y"[:1 + 2 * (i % 2)] for i, w in enumerate(words)]
+    cut = [*words[:400]]
+    for at in range(20, 400, 25):
+        cut[at] += " a b c d e"  # more runs than a few
+    items = [(1, " ".join(words)), (2, ITEM), (3, "the the the the the the"), (4, "one two three")]
+    docs, table = frames(spark, [(1, " ".join(broken), None, None), (2, " ".join(cut) + " " + " ".join(words[400:500]), None, None), (3, "the " * 5000, None, None), (4, "so one two three", None, None)], items)
+    whole = {(r["doc_id"], r["item_id"]) for r in leaked_items(docs, table).collect()}
+    assert whole == {(1, 1), (2, 1), (3, 3), (4, 4)}
+    monkeypatch.setattr(leakage, "PART_CHARS", 300)
+    assert {(r["doc_id"], r["item_id"]) for r in leaked_items(docs, table).collect()} == whole

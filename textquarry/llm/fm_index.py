@@ -67,8 +67,11 @@ class FMIndex:
         alive = np.arange(count)
         for k in range(patterns.shape[1] - 1, -1, -1):
             c = patterns[alive, k].astype(np.int64) + 1
-            low[alive] = self.first[c] + self.rank(c, low[alive])
-            high[alive] = self.first[c] + self.rank(c, high[alive])
+            if k == patterns.shape[1] - 1:
+                low[alive], high[alive] = self.first[c], self.first[c + 1]
+            else:
+                low[alive] = self.first[c] + self.rank(c, low[alive])
+                high[alive] = self.first[c] + self.rank(c, high[alive])
             alive = alive[low[alive] < high[alive]]
             if not len(alive):
                 break

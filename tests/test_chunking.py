@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -35,9 +36,23 @@ def test_token_windows(spark, size, overlap):
     assert got == {i: w for i, t in enumerate(values) if (w := windows(t or "", size, overlap))}
 
 
-def test_long_text_in_windows(spark):
-    long = "word " * 60_000
-    assert token_windows(texts(spark, long), "text", ["id"], 512, 50).count() > 100
+def test_long_texts_take_linear_time(spark):
+    million, sections, code = "word " * 1_000_000, "# Head\n" + ("# Part\n" + "x" * 60 + "\n") * 60_000, "def f():\n" + ("  x\n" * 6 + "def f():\n") * 60_000
+    frame = texts(spark, million, sections, code).cache()
+    frame.count()
+    start = time.time()
+    assert token_windows(frame.where("id = 0"), "text", ["id"], 512, 50).count() > 2000
+    assert header_sections(frame.where("id = 1"), "text", ["id"]).count() == 60_000
+    assert code_parts(frame.where("id = 2"), "text", ["id"]).count() == 60_001
+    assert time.time() - start < 20
+    frame.unpersist()
+
+
+def test_plans_have_no_shuffle_and_no_array(spark):
+    frame = texts(spark, "a b")
+    for out in (token_windows(frame, "text", ["id"]), header_sections(frame, "text", ["id"]), code_parts(frame, "text", ["id"])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "array" not in plan
 
 
 def test_header_sections(spark):

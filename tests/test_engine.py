@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from textquarry.config import Config
 from textquarry.engine import Engine
 from textquarry.operators import metadata
+from textquarry.plans.pipeline import chunk_files
 from textquarry.runtime import numbered, small_or_plain
 from textquarry.sources import archive
 from textquarry.sources.files import read_files
@@ -46,13 +47,16 @@ def test_index_search_and_keep(spark, folder, tree):
         found = engine.search("token cache", 3).collect()
         assert [r["rank"] for r in found] == [1, 2, 3] and found[0]["source_path"] == "a.md" and found[0]["match_type"] == "hybrid"
         assert engine.search("  ") is None
-        assert [r["match_type"] for r in engine.search("token", 1, hybrid=False).collect()] == ["semantic"]
+        assert [(r["match_type"], r["search_mode"]) for r in engine.search("token", 1, hybrid=False).collect()] == [("semantic", "vector")]
+        assert {r["search_mode"] for r in found} == {"hybrid"} and {r["metadata"]["mime_type"] for r in rows} >= {"text/markdown", "text/x-python", "text/plain"}
+        intro = next(r["metadata"] for r in rows if r["parent_section"] == "Intro")
+        assert intro["chunk_name"] == "Intro" and intro["chunk_index"] == 0 and intro["page_number"] is None
     again = Engine(spark, config)
     assert again.status()["chunks"] == len(rows) and again.status()["files"] == 4
     again.index_folder(tree, "docs", exclude_directories=["node_modules"], upsert=True)
     assert again.status()["chunks"] == len(rows)
     again.index_folder(tree, "docs", exclude_directories=["node_modules"])
-    assert again.status()["chunks"] == 2 * len(rows)
+    assert again.status()["chunks"] == 2 * len(rows) and len(again.store.current()["parts"]) == 2
     again.remove([rows[0]["chunk_id"]])
     assert again.chunks().where(F.col("chunk_id") == rows[0]["chunk_id"]).count() == 0
     assert not again.reset() and again.reset(confirm=True) and again.chunks() is None and again.search("token") is None
@@ -81,6 +85,46 @@ def test_every_name_is_crawled(spark, folder):
         assert {"pkg/gen.py", "pkg/__init__.py", "pkg/.gitattributes", "_x/a.md"} <= {r["source_path"] for r in engine.chunks().collect()}
 
 
+def test_large_files_are_reported(spark, folder):
+    base = os.path.join(folder, "f")
+    os.makedirs(base)
+    for name, size in (("small.txt", 10), ("large.txt", 3 << 20)):
+        with open(os.path.join(base, name), "w") as f:
+            f.write("word " * (size // 5))
+    engine = Engine(spark, Config(index_dir=os.path.join(folder, "index"), embedding_dimension=16, max_file_size_mb=1))
+    counts = engine.index_folder(base, "t")
+    assert counts["files"] == 1 and counts["too_large"] == ["large.txt"] and counts["too_large_files"] == 1
+
+
+def test_a_file_of_many_sections(spark, folder):
+    text = "\n".join(f"# S{i}\n{'x' * 60}" for i in range(30_000)) + "\n# Long\n" + "Word by word. " * 200
+    files = spark.createDataFrame([("a.md", "md", text, ["t"], "text/markdown", "a")], "relative_path string, file_extension string, text string, tags array<string>, mime_type string, filename_stem string")
+    rows = chunk_files(files, Config(chunk_size=128, chunk_overlap=10))
+    assert rows.agg(F.count_distinct("chunk_no"), F.max("chunk_no")).first() == (rows.count(), rows.count() - 1) and rows.count() > 30_001
+
+
+def test_search_without_keywords_says_so(spark, folder, tree, monkeypatch):
+    def fails(*_):
+        raise OSError("no keywords")
+
+    engine = Engine(spark, Config(index_dir=os.path.join(folder, "index"), embedding_dimension=16))
+    engine.index_folder(tree, "t")
+    monkeypatch.setattr(Engine, "_keywords", fails)
+    assert {(r["search_mode"], r["match_type"]) for r in engine.search("token", 2).collect()} == {("vector", "semantic")}
+
+
+def test_the_keyword_index_is_kept_with_its_version(spark, folder, tree):
+    engine = Engine(spark, Config(index_dir=os.path.join(folder, "index"), embedding_dimension=16))
+    engine.index_folder(tree, "t")
+    names = lambda: os.listdir(os.path.join(folder, "index/chunks/keywords"))
+    engine.search("token")
+    engine.search("cache")
+    assert names() == [engine.store.current()["version"]]
+    engine.index_folder(tree, "t")
+    engine.search("token")
+    assert len(names()) == 2
+
+
 def test_versions(spark, folder):
     store = IndexStore(spark, os.path.join(folder, "s"), keep=1)
     rows = spark.createDataFrame([(1, "code", "x")], "vec_id long, source_type string, t string")
@@ -88,10 +132,17 @@ def test_versions(spark, folder):
     store.save(rows)
     store.append(spark.createDataFrame([(2, "document", "y")], rows.schema), note="n")
     assert store.load().count() == 2 and store.current()["next_vec_id"] == 3 and store.current()["note"] == "n"
+    parts = store.current()["parts"]
+    assert len(parts) == 2  # the first rows weren't written again
     store.save(rows.limit(0))
     assert len(store.versions()) == 2 and store.load().count() == 0
     store.restore_previous()
-    assert store.load().count() == 2
+    assert store.load().count() == 2 and store.current()["parts"] == parts
+    assert store.restore_previous() is None
+    store.clear()
+    assert store.load() is None and store.restore_previous() is None
+    store.save(rows)
+    assert store.load().count() == 1 and sorted(n for n in os.listdir(os.path.join(folder, "s")) if n.startswith("part")) == store.current()["parts"]
     store.clear(files=True)
     assert store.versions() == []
 

@@ -27,19 +27,36 @@ def model_bm25(rows, query):
 
 @pytest.mark.parametrize("query", ["python", "Web web python", "nothing"])
 def test_bm25(docs, query):
-    got = {r["vec_id"]: r["score"] for r in keyword.bm25(docs, "chunk_text", "vec_id", query, normalize=False).collect()}
+    index = keyword.KeywordIndex.of(docs, "chunk_text", "vec_id")
+    got = {r["vec_id"]: r["score"] for r in keyword.bm25(index, query, normalize=False).collect()}
     assert got == pytest.approx(model_bm25([tuple(r) for r in docs.collect()], query), abs=1e-6)
-    best = [r["score"] for r in keyword.bm25(docs, "chunk_text", "vec_id", query).collect()]
+    best = [r["score"] for r in keyword.bm25(index, query).collect()]
     assert not best or max(best) == 1.0
 
 
 def test_tfidf_and_mean(spark, docs):
-    got = {r["vec_id"]: r["score"] for r in keyword.tfidf(docs, "chunk_text", "vec_id", "python programming").collect()}
+    index, empty = (keyword.KeywordIndex.of(d, "chunk_text", "vec_id") for d in (docs, docs.limit(0)))
+    got = {r["vec_id"]: r["score"] for r in keyword.tfidf(index, "python programming").collect()}
     assert set(got) == {0, 2} and 0 < got[2] < got[0] <= 1
-    assert keyword.tfidf(docs, "chunk_text", "vec_id", "the of").count() == 0 and keyword.tfidf(docs.limit(0), "chunk_text", "vec_id", "python").count() == 0
-    assert keyword.bm25(docs.limit(0), "chunk_text", "vec_id", "python").count() == 0 and keyword.keyword_scores(docs, "chunk_text", "vec_id", "").count() == 0
-    stats = keyword.index_stats(docs, "chunk_text", "vec_id").first()
-    assert stats["documents"] == 5 and stats["vocabulary"] == 13
+    assert keyword.tfidf(index, "the of").count() == 0 and keyword.tfidf(empty, "python").count() == 0
+    assert keyword.bm25(empty, "python").count() == 0 and keyword.keyword_scores(index, "").count() == 0 and keyword.keyword_scores(empty, "python").columns == ["vec_id", "score"]
+    stats = keyword.index_stats(index).first()
+    assert stats["documents"] == 5 and stats["vocabulary"] == 13 and keyword.index_stats(empty).first()["documents"] == 0
+
+
+def test_a_kept_index_is_read_by_the_terms_of_the_query(spark, folder, monkeypatch):
+    monkeypatch.setattr(keyword, "BUCKET_POSTINGS", 50)
+    monkeypatch.setattr(keyword, "FILE_TEXTS", 40)
+    rows = [(f"k{i}", f"common w{i % 37} v{i % 11} Python") for i in range(200)] + [("k0", "common again"), (None, "w1"), ("e", None)]
+    frame = spark.createDataFrame(rows, "name string, text string")
+    index = keyword.KeywordIndex.of(frame, "text", "name", f"{folder}/kw")
+    assert index.buckets > 1 and index.key == "name"
+    scores = {r["name"]: r["score"] for r in keyword.bm25(index, "w3 nothing", normalize=False).collect()}
+    assert set(scores) == {f"k{i}" for i in range(200) if i % 37 == 3}
+    again = keyword.KeywordIndex.of(frame.limit(0), "text", "name", f"{folder}/kw")  # kept: nothing is read again
+    plan = keyword.keyword_scores(again, "w3 python")._jdf.queryExecution().executedPlan().toString()
+    assert "chunk_text" not in plan and "PartitionFilters: [bucket" in plan and "PushedFilters: [In(term" in plan
+    assert len(index.rows_of("words", ["common"]).inputFiles()) > 1  # a term of most texts is spread over files
 
 
 def test_hybrid(spark):

@@ -6,13 +6,25 @@ texts give no chunk. Line ends must be line feeds (``functions.text.newlines``).
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.functions.text import split_words, strip
+from textquarry.functions.text import BLANKS, split_words
 
 #: Words are estimated at so many tokens each.
 TOKENS_PER_WORD = 1.3
+#: Characters of pieces handed on at once.
+BATCH_CHARS = 8 << 20
+
+_BLANK = re.compile(f"[{BLANKS}]+")
+# How headers, definitions and members begin.
+_HEADER = re.compile(f"#{{1,6}}[{BLANKS}]+(.+)")
+_DEFINES = ("def ", "class ", "function ", "const ", "var ", "let ")
+_MEMBERS = ("public ", "private ", "protected ")
 
 
 def _window_sizes(chunk_size: int, overlap: int) -> tuple[int, int]:
@@ -20,75 +32,99 @@ def _window_sizes(chunk_size: int, overlap: int) -> tuple[int, int]:
     return width, max(width - lap, 1)
 
 
-def token_windows(df: DataFrame, text: str, keys: list[str], chunk_size: int = 512, overlap: int = 50) -> DataFrame:
-    """Overlapping windows of words; offsets refer to the words joined by single blanks. No shuffle.
+def _cut_texts(df: DataFrame, text: str, keys: list[str], columns: str, pieces: Callable[[str], Iterable[tuple]]) -> DataFrame:
+    """The keys with the pieces that a function makes of each text, in batches of bounded size; null and blank texts give none. No shuffle."""
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields] + [columns])
+    names = [c.split()[0] for c in columns.split(", ")]
 
-    The offsets are sums of the lengths of the steps between windows, so long texts take linear time.
-    """
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at: list[int] = []
+            rows: list[tuple] = []
+            held = 0
+
+            def batch() -> pd.DataFrame:
+                return pd.concat([pdf[keys].iloc[at].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
+
+            for i, t in enumerate(pdf["_text"]):
+                for row in pieces(t):
+                    at.append(i)
+                    rows.append(row)
+                    held += len(row[1])
+                    if held > BATCH_CHARS:
+                        yield batch()
+                        at, rows, held = [], [], 0
+            yield batch()
+
+    return df.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text")).mapInPandas(cut, schema)
+
+
+def token_windows(df: DataFrame, text: str, keys: list[str], chunk_size: int = 512, overlap: int = 50) -> DataFrame:
+    """Overlapping windows of words; offsets refer to the words joined by single blanks. Linear in the text, no shuffle."""
     width, step = _window_sizes(chunk_size, overlap)
-    if width < 1:
-        empty = df.where(F.lit(False))
-        return empty.select(*keys, *[F.lit(None).cast(t).alias(n) for n, t in (("chunk_no", "int"), ("chunk_text", "string"), ("start_char", "int"), ("end_char", "int"))])
-    words = df.select(*keys, split_words(F.col(text)).alias("_w")).where(F.size("_w") > 0)
-    count = F.greatest(F.ceil((F.size("_w") - width) / F.lit(step)), F.lit(0)).cast("int") + 1
-    steps = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.length(F.array_join(F.slice("_w", k * step + 1, step), " ")) + 1)
-    starts = F.aggregate(steps, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    placed = words.withColumn("_starts", F.slice(starts, 1, count)).select(*keys, "_w", F.posexplode("_starts").alias("chunk_no", "start_char"))
-    chunk = F.array_join(F.slice("_w", F.col("chunk_no") * step + 1, width), " ")
-    return placed.select(*keys, "chunk_no", chunk.alias("chunk_text"), "start_char").withColumn("end_char", F.col("start_char") + F.length("chunk_text"))
+
+    def pieces(t: str) -> Iterator[tuple]:
+        words = [w for w in _BLANK.split(t) if w]
+        start = 0
+        for k, first in enumerate(range(0, max(len(words) - width + step, min(len(words), 1)), step) if width > 0 else ()):
+            chunk = " ".join(words[first : first + width])
+            yield k, chunk, start, start + len(chunk)
+            start += sum(map(len, words[first : first + step])) + step
+
+    return _cut_texts(df, text, keys, "chunk_no int, chunk_text string, start_char int, end_char int", pieces)
 
 
 def header_sections(df: DataFrame, text: str, keys: list[str], min_section_chars: int = 50) -> DataFrame:
     """Sections under Markdown headers, with ``parent_section``. Short sections but the last are dropped.
 
-    A text with at most one section left comes out whole, its section null. One shuffle, on the keys.
+    A text with at most one section left comes out whole, its section null. Linear in the text, no shuffle.
     """
-    lines = df.where(F.col(text).isNotNull() & (strip(F.col(text)) != "")).select(*keys, F.posexplode(F.split(F.col(text), "\n", -1)).alias("_n", "_line"))
-    header = F.regexp_extract(strip(F.col("_line")), r"^#{1,6}(?U:\s)+(.+)", 1)
-    by_line = Window.partitionBy(*keys).orderBy("_n")
-    upto = by_line.rowsBetween(Window.unboundedPreceding, 0)
-    before = by_line.rowsBetween(Window.unboundedPreceding, -1)
-    marked = lines.withColumn("_head", strip(header)).withColumn("_sec", F.sum((F.col("_head") != "").cast("int")).over(upto)).withColumn("_at", F.coalesce(F.sum(F.length("_line") + 1).over(before), F.lit(0)).cast("int"))
-    sections = marked.groupBy(*keys, "_sec").agg(
-        F.array_sort(F.collect_list(F.struct("_n", "_line"))).alias("_lines"), F.min("_at").alias("start_char"), F.min_by("_head", "_n").alias("_head")
-    ).withColumn("_lines", F.transform("_lines", lambda s: s["_line"]))
-    whole = Window.partitionBy(*keys)
-    sections = sections.withColumn("chunk_text", F.array_join("_lines", "\n")).withColumn("_last", F.col("_sec") == F.max("_sec").over(whole))
-    sections = sections.withColumn("_keep", F.col("_last") | (F.length(strip(F.array_join("_lines", " "))) > min_section_chars)).withColumn("_kept", F.sum(F.col("_keep").cast("int")).over(whole))
-    ordered = sections.withColumn("_all", F.array_sort(F.collect_list(F.struct("_sec", "chunk_text")).over(whole)))
-    many = ordered.where(F.col("_keep") & (F.col("_kept") > 1)).withColumn("end_char", F.col("start_char") + F.length("chunk_text"))
-    one = ordered.where(F.col("_last") & (F.col("_kept") <= 1)).withColumn("chunk_text", F.array_join(F.transform("_all", lambda s: s["chunk_text"]), "\n")).withColumn("start_char", F.lit(0)).withColumn("end_char", F.length("chunk_text")).withColumn("_head", F.lit(""))
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("_sec")) - 1
-    columns = [*keys, "_sec", "chunk_text", "start_char", "end_char", "_head"]
-    return many.select(columns).unionByName(one.select(columns)).select(*keys, number.alias("chunk_no"), "chunk_text", "start_char", "end_char", F.when(F.col("_head") != "", F.col("_head")).alias("parent_section"))
-
-
-def _is_boundary(line: Column) -> Column:
-    s = strip(line)
-    starts = s.rlike(r"^(?:def|class|function|const|var|let) ")
-    member = s.rlike(r"^(?:public|private|protected) ") & line.rlike("function|class|def")
-    return starts | member
+
+    def pieces(t: str) -> list[tuple]:
+        if not t.strip(BLANKS):
+            return []
+        found: list[tuple[int, str | None]] = [(0, None)]  # places and heads of the sections
+        at = 0
+        for line in t.split("\n"):
+            if "#" in line and (m := _HEADER.match(line.strip(BLANKS))) and (head := m[1].strip(BLANKS)):
+                if at == 0:
+                    found.clear()
+                found.append((at, head))
+            at += len(line) + 1
+        ends = [a - 1 for a, _ in found[1:]] + [len(t)]
+        kept = [(t[a:b], a, b, head) for (a, head), b in zip(found, ends) if b == len(t) or len(t[a:b].replace("\n", " ").strip(BLANKS)) > min_section_chars]
+        if len(kept) <= 1:
+            kept = [(t, 0, len(t), None)]
+        return [(k, *row) for k, row in enumerate(kept)]
+
+    return _cut_texts(df, text, keys, "chunk_no int, chunk_text string, start_char int, end_char int, parent_section string", pieces)
+
+
+def _is_boundary(line: str) -> bool:
+    s = line.strip(BLANKS)
+    return s.startswith(_DEFINES) or s.startswith(_MEMBERS) and ("function" in line or "class" in line or "def" in line)
 
 
 def code_parts(df: DataFrame, text: str, keys: list[str], min_lines: int = 5) -> DataFrame:
-    """Code split before definitions that follow more than ``min_lines`` lines: a fold over the lines. No shuffle.
+    """Code split before definitions that follow more than ``min_lines`` lines, with the number of parts. Linear in the text, no shuffle.
 
     Texts without a split come out as one part.
     """
-    lines = F.split(F.col(text), "\n", -1)
-    folded = df.where(F.col(text).isNotNull() & (strip(F.col(text)) != "")).select(*keys, lines.alias("_l"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("i"), F.array(F.lit(0)).alias("cuts"))
-
-    def step(s: Column, line: Column) -> Column:
-        cut = _is_boundary(line) & (s["n"] > min_lines)
-        return F.struct(F.when(cut, 1).otherwise(s["n"] + 1).alias("n"), (s["i"] + 1).alias("i"), F.when(cut, F.concat(s["cuts"], F.array(s["i"]))).otherwise(s["cuts"]).alias("cuts"))
-
-    cuts = folded.withColumn("_c", F.aggregate("_l", start, step)["cuts"])
-    parts = cuts.select(*keys, "_l", "_c", F.posexplode("_c").alias("chunk_no", "_a"))
-    stop = F.coalesce(F.get("_c", F.col("chunk_no") + 1), F.size("_l"))
-    text_of = parts.withColumn("chunk_text", F.array_join(F.slice("_l", F.col("_a") + 1, stop - F.col("_a")), "\n"))
-    ahead = F.when(F.col("_a") > 0, F.length(F.array_join(F.slice("_l", 1, F.col("_a")), "\n")) + 1).otherwise(0)
-    return text_of.select(*keys, "chunk_no", "chunk_text", ahead.alias("start_char"), F.size("_c").alias("n_parts")).withColumn("end_char", F.col("start_char") + F.length("chunk_text"))
+
+    def pieces(t: str) -> list[tuple]:
+        if not t.strip(BLANKS):
+            return []
+        cuts, have, at = [0], 0, 0
+        for line in t.split("\n"):
+            if have > min_lines and _is_boundary(line):
+                cuts.append(at)
+                have = 0
+            have += 1
+            at += len(line) + 1
+        ends = [c - 1 for c in cuts[1:]] + [len(t)]
+        return [(k, t[a:b], a, b, len(cuts)) for k, (a, b) in enumerate(zip(cuts, ends))]
+
+    return _cut_texts(df, text, keys, "chunk_no int, chunk_text string, start_char int, end_char int, n_parts int", pieces)
 
 
 def code_chunks(df: DataFrame, text: str, keys: list[str], chunk_size: int = 512, overlap: int = 50) -> DataFrame:

@@ -1,22 +1,141 @@
-"""Keyword search over postings: BM25 and TF-IDF scores of a query, and their mean.
+"""Keyword search over a kept index: BM25 and TF-IDF scores of a query, and their mean.
 
-Only the postings of the query's terms are scored; the statistics (lengths, document frequencies) cover all documents.
-Null texts aren't documents; blank ones count as documents without terms. Scores are rounded to 6 decimals at the end.
+The index is built once per collection. Each text is read into its words and features in one pass without a shuffle; what
+is shuffled are the postings, into buckets by a hash of the term and, since a term may be in most texts, by a hash of the
+key too. A query reads the postings of its own terms only; the statistics (lengths, document frequencies) cover all
+documents. Null texts aren't documents; blank ones count as documents without terms; rows of a repeated key are documents
+whose scores add up. Scores are rounded to 6 decimals at the end.
 """
 
 from __future__ import annotations
 
 import math
+import re
+import zlib
 from collections import Counter
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.functions.text import STOP_WORDS, split_words
-from textquarry.runtime import cut
+from textquarry.functions.text import BLANKS, STOP_WORDS
+from textquarry.runtime import Folder, cut, ensure_checkpoint_dir
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 MAX_FEATURES, MAX_DF = 10_000, 0.95
+#: Postings of a bucket, and texts whose postings of one term share a file.
+BUCKET_POSTINGS, FILE_TEXTS = 2_000_000, 2_000_000
+
+_BLANK = re.compile(f"[{BLANKS}]+")
+_CONTENT = re.compile(r"\w{2,}")
+
+
+def words_of(text: str) -> list[str]:
+    """Words of a lower-case text between white space."""
+    return [w for w in _BLANK.split(text) if w]
+
+
+def features_of(text: str, stop_words: frozenset[str]) -> list[str]:
+    """Words of two or more letters or digits of a lower-case text without stop words, and their pairs."""
+    content = [w for w in _CONTENT.findall(text) if w not in stop_words]
+    return content + [f"{a} {b}" for a, b in zip(content, content[1:])]
+
+
+def _forward(docs: DataFrame, text: str, key: str, stop_words: frozenset[str]) -> DataFrame:
+    """``key, dl, words, word_tf, grams, gram_tf``: what each text has, one row per text."""
+    kind = docs.schema[key].dataType.simpleString()
+    columns = ["key", "dl", "words", "word_tf", "grams", "gram_tf"]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, t in zip(pdf["key"], pdf["text"]):
+                words, grams = words_of(t), Counter(features_of(t, stop_words))
+                counted = Counter(words)
+                rows.append((k, len(words), list(counted), list(counted.values()), list(grams), list(grams.values())))
+            yield pd.DataFrame(rows, columns=columns)
+
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.lower(text).alias("text"))
+    return rows.mapInPandas(read, f"key {kind}, dl long, words array<string>, word_tf array<long>, grams array<string>, gram_tf array<long>")
+
+
+def _term_counts(rows: DataFrame, terms: str, times: str) -> DataFrame:
+    """``term, df, total``."""
+    each = rows.select(F.explode(F.arrays_zip(F.col(terms).alias("term"), F.col(times).alias("tf"))).alias("p"))
+    return each.groupBy("p.term").agg(F.count(F.lit(1)).alias("df"), F.sum("p.tf").alias("total"))
+
+
+class KeywordIndex:
+    """Stored tables below a folder: ``words`` and ``grams`` (postings by bucket), ``terms`` (document frequencies), ``stats``."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        row = spark.read.parquet(f"{path}/stats").first()
+        self.key, self.documents, self.average, self.mean_idf, self.buckets, self.postings, self.vocabulary = (row[c] for c in ("key_name", "documents", "average_length", "mean_idf", "buckets", "postings", "vocabulary"))
+        self.stop_words = frozenset(row["stop_words"])
+
+    @staticmethod
+    def is_built(spark: SparkSession, path: str) -> bool:
+        return Folder(spark, path).exists("stats/_SUCCESS")
+
+    @classmethod
+    def of(cls, docs: DataFrame, text: str, key: str, path: str | None = None, max_features: int = MAX_FEATURES, max_df: float = MAX_DF, stop_words: list[str] | None = None) -> KeywordIndex:
+        """The index kept below ``path``, built there if it isn't yet; without a path, a new one in the shared folder of the session."""
+        spark = docs.sparkSession
+        if path is None:
+            path = f"{ensure_checkpoint_dir(spark)}/keywords-{spark._jvm.java.util.UUID.randomUUID()}"
+        if cls.is_built(spark, path):
+            return cls(spark, path)
+        stops = frozenset(STOP_WORDS if stop_words is None else stop_words)
+        rows = cut(_forward(docs, text, key, stops))
+        sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg"), F.sum(F.size("words")).alias("postings")).first()
+        n, postings = sizes["n"], sizes["postings"] or 0
+        buckets, spread = max(1, -(-postings // BUCKET_POSTINGS)), max(1, -(-n // FILE_TEXTS))
+        bucket = F.pmod(F.crc32("term"), F.lit(buckets)).cast("int")
+
+        def store(posted: DataFrame, name: str) -> None:
+            salted = posted.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(spread)))
+            salted.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+
+        store(rows.select("key", "dl", F.explode(F.arrays_zip(F.col("words").alias("term"), F.col("word_tf").alias("tf"))).alias("p")).select("key", "dl", "p.term", "p.tf"), "words")
+        terms = _term_counts(rows, "words", "word_tf").select("term", "df", (F.log(F.lit(n + 0.5) - F.col("df")) - F.log(F.col("df") + 0.5)).alias("idf"))
+        terms.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+        summed = spark.read.schema("term string, df long, idf double, bucket int").parquet(f"{path}/terms").agg(F.count(F.lit(1)).alias("vocabulary"), F.avg("idf").alias("mean")).first()
+        # The vocabulary of the features is bounded by max_features, ties in order of the feature.
+        chosen = _term_counts(rows, "grams", "gram_tf").where(F.col("df") <= max_df * n).orderBy(F.desc("total"), "term").limit(max_features)
+        weights = spark.sparkContext.broadcast({r["term"]: math.log((1.0 + n) / (1 + r["df"])) + 1 for r in chosen.collect()})
+
+        def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            idf = weights.value
+            for pdf in batches:
+                out = []
+                for k, grams, times in zip(pdf["key"], pdf["grams"], pdf["gram_tf"]):
+                    found = [(k, g, int(tf) * idf[g]) for g, tf in zip(grams, times) if g in idf]
+                    length = math.sqrt(sum(v * v for _, _, v in found))
+                    out += [(k, g, v / length, idf[g]) for k, g, v in found]
+                yield pd.DataFrame(out, columns=["key", "term", "weight", "idf"])
+
+        kind = rows.schema["key"].dataType.simpleString()
+        store(rows.select("key", "grams", "gram_tf").mapInPandas(weigh, f"key {kind}, term string, weight double, idf double"), "grams")
+        stats = (key, n, float(sizes["avg"] or 0.0), summed["mean"], buckets, postings, summed["vocabulary"], sorted(stops))
+        spark.createDataFrame([stats], "key_name string, documents long, average_length double, mean_idf double, buckets long, postings long, vocabulary long, stop_words array<string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+        return cls(spark, path)
+
+    def rows_of(self, name: str, terms: list[str]) -> DataFrame:
+        """The rows of some terms of a table; other buckets aren't read."""
+        kind = "key " + self._key_kind() + ", " if name != "terms" else ""
+        schema = {"words": f"{kind}dl long, term string, tf long, bucket int", "grams": f"{kind}term string, weight double, idf double, bucket int", "terms": "term string, df long, idf double, bucket int"}[name]
+        buckets = sorted({zlib.crc32(t.encode()) % self.buckets for t in terms})
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}").where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+
+    def _key_kind(self) -> str:
+        if not hasattr(self, "_kind"):
+            self._kind = self.spark.read.parquet(f"{self.path}/words").schema["key"].dataType.simpleString() if self.postings else "long"
+        return self._kind
+
+    def _nothing(self) -> DataFrame:
+        return self.spark.createDataFrame([], f"`{self.key}` {self._key_kind()}, score double")
 
 
 def query_terms(query: str) -> Counter[str]:
@@ -24,101 +143,48 @@ def query_terms(query: str) -> Counter[str]:
     return Counter(query.lower().split())
 
 
-def postings(docs: DataFrame, text: str, key: str, terms: list[str] | None = None) -> DataFrame:
-    """``key, term, tf, dl``: how often a document has a term (of these, if given), and its length in words."""
-    words = docs.where(F.col(text).isNotNull()).select(key, split_words(F.lower(F.col(text))).alias("_w"))
-    return words.select(key, F.size("_w").cast("long").alias("dl"), F.explode(F.filter("_w", lambda w: w.isin(terms)) if terms is not None else F.col("_w")).alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def corpus_stats(docs: DataFrame, text: str) -> tuple[int, float]:
-    """(number of documents, average length in words)."""
-    row = docs.where(F.col(text).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(split_words(F.lower(F.col(text))))).alias("avg")).first()
-    return row["n"], float(row["avg"] or 0.0)
-
-
-def term_stats(posted: DataFrame, n: int) -> DataFrame:
-    """``term, df, idf``: the raw inverse document frequency, negative for terms of more than half the documents."""
-    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.withColumn("idf", F.log(F.lit(n + 0.5) - F.col("df")) - F.log(F.col("df") + 0.5))
-
-
-def bm25(docs: DataFrame, text: str, key: str, query: str, normalize: bool = True, digits: int = 6) -> DataFrame:
+def bm25(index: KeywordIndex, query: str, normalize: bool = True, digits: int = 6) -> DataFrame:
     """``key, score``: Okapi BM25 with repeated query terms counted each time; divided by the best if normalised.
 
     Negative inverse document frequencies are replaced by a quarter of the mean over the whole vocabulary.
     """
     asked = query_terms(query)
-    n, average = corpus_stats(docs, text)
-    if not n or not asked:
-        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    terms = cut(term_stats(postings(docs, text, key), n))  # a row per word of the vocabulary, read twice
-    mean = terms.agg(F.avg("idf")).first()[0]
-    if mean is None:
-        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    wanted = terms.where(F.col("term").isin(list(asked))).withColumn("idf", F.when(F.col("idf") < 0, EPSILON * mean).otherwise(F.col("idf")))
-    times = F.create_map(*[F.lit(x) for pair in asked.items() for x in pair])
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average)) * times[F.col("term")]
-    # One row per query term: bounded by the query.
-    scored = postings(docs, text, key, list(asked)).join(F.broadcast(wanted), "term").groupBy(key).agg(F.sum(weight).alias("score"))
+    known = {r["term"]: r["idf"] for r in index.rows_of("terms", list(asked)).collect()} if asked and index.postings else {}  # one row per term of the query
+    if not known:
+        return index._nothing()
+    per_term = {t: asked[t] * (idf if idf >= 0 else EPSILON * index.mean_idf) * (K1 + 1) for t, idf in known.items()}
+    weight = F.create_map(*[F.lit(x) for pair in sorted(per_term.items()) for x in pair])[F.col("term")]
+    value = weight * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / index.average))
+    scored = index.rows_of("words", sorted(per_term)).groupBy(F.col("key").alias(index.key)).agg(F.sum(value).alias("score"))
     if normalize:
         best = scored.agg(F.max("score")).first()[0]
         if best and best > 0:
             scored = scored.withColumn("score", F.col("score") / best)
-    return scored.where(F.col("score") > 0).select(key, F.round("score", digits).alias("score"))
-
+    return scored.where(F.col("score") > 0).select(index.key, F.round("score", digits).alias("score"))
 
-def features(text: str, stop_words: list[str] | None = None):
-    """The column of uni- and bigrams of content words."""
-    stops = STOP_WORDS if stop_words is None else list(stop_words)
-    words = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)), lambda w: ~w.isin(stops))
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, pairs)
 
-
-def tfidf(docs: DataFrame, text: str, key: str, query: str, max_features: int = MAX_FEATURES, max_df: float = MAX_DF, digits: int = 6) -> DataFrame:
-    """``key, score``: cosine of the documents' and the query's TF-IDF vectors over the most frequent features.
-
-    Features in more than ``max_df`` of the documents are left out; of the rest, the ``max_features`` most frequent
-    (ties in order of the feature) are the vocabulary, so what is broadcast is bounded.
-    """
-    rows = docs.where(F.col(text).isNotNull())
-    n = rows.count()
-    counted = rows.select(key, F.explode(features(text)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    vocabulary = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df") <= max_df * n).orderBy(F.desc("total"), "term").limit(max_features)
-    weighed = cut(vocabulary.select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")))
-    words = [w for w in _words(query) if w not in STOP_WORDS]
-    asked = Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
-    known = {r["term"]: asked[r["term"]] * r["idf"] for r in weighed.where(F.col("term").isin(list(asked))).collect()} if asked else {}
+def tfidf(index: KeywordIndex, query: str, digits: int = 6) -> DataFrame:
+    """``key, score``: cosine of the documents' and the query's TF-IDF vectors over the most frequent features."""
+    asked = Counter(features_of(query.lower(), index.stop_words))
+    posted = index.rows_of("grams", sorted(asked)) if asked and index.postings else None
+    known = {r["term"]: asked[r["term"]] * r["idf"] for r in posted.groupBy("term").agg(F.first("idf").alias("idf")).collect()} if posted is not None else {}  # one row per term of the query
+    if not known:
+        return index._nothing()
     length = math.sqrt(sum(v * v for v in known.values()))
-    if not length:
-        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    value = F.col("tf") * F.col("idf")
-    asks = F.create_map(*[x for t, v in sorted(known.items()) for x in (F.lit(t), F.lit(v / length))])
-    hit = F.coalesce(value * asks[F.col("term")], F.lit(0.0))
-    scored = counted.join(F.broadcast(weighed), "term").groupBy(key).agg(F.sum(hit).alias("hit"), F.sqrt(F.sum(value * value)).alias("norm"))
-    return scored.where(F.col("hit") > 0).select(key, F.round(F.col("hit") / F.col("norm"), digits).alias("score"))
-
-
-def _words(text: str) -> list[str]:
-    import regex
-
-    return regex.findall(r"[\p{L}\p{N}_]{2,}", text.lower())
+    weight = F.create_map(*[F.lit(x) for t, v in sorted(known.items()) for x in (t, v / length)])[F.col("term")]
+    scored = posted.groupBy(F.col("key").alias(index.key)).agg(F.sum(weight * F.col("weight")).alias("score"))
+    return scored.where(F.col("score") > 0).select(index.key, F.round("score", digits).alias("score"))
 
 
-def keyword_scores(docs: DataFrame, text: str, key: str, query: str) -> DataFrame:
+def keyword_scores(index: KeywordIndex, query: str) -> DataFrame:
     """``key, score``: the mean of both scores, a missing one counting as 0."""
-    one = tfidf(docs, text, key, query, digits=12).withColumnRenamed("score", "tfidf")
-    two = bm25(docs, text, key, query, digits=12).withColumnRenamed("score", "bm25")
-    both = one.join(two, key, "full")
-    return both.select(key, F.round((F.coalesce("tfidf", F.lit(0.0)) + F.coalesce("bm25", F.lit(0.0))) / 2, 6).alias("score"))
+    half = [scores(index, query, digits=12).select(index.key, (F.col("score") / 2).alias("score")) for scores in (tfidf, bm25)]
+    return half[0].unionByName(half[1]).groupBy(index.key).agg(F.round(F.sum("score"), 6).alias("score"))
 
 
-def index_stats(docs: DataFrame, text: str, key: str) -> DataFrame:
+def index_stats(index: KeywordIndex) -> DataFrame:
     """``documents, vocabulary, postings, average_length`` in one row."""
-    n, average = corpus_stats(docs, text)
-    posted = postings(docs, text, key)
-    per_term = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return per_term.agg(F.lit(n).cast("long").alias("documents"), F.count(F.lit(1)).alias("vocabulary"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"), F.lit(round(average, 6)).alias("average_length"))
+    return index.spark.read.parquet(f"{index.path}/stats").select("documents", "vocabulary", "postings", F.round("average_length", 6).alias("average_length"))
 
 
 def hybrid_topk(hits: DataFrame, keyword: DataFrame, k: int, weight: float = 0.3, key: str = "vec_id") -> DataFrame:

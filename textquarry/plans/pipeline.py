@@ -37,18 +37,22 @@ def chunk_files(files: DataFrame, config: Config) -> DataFrame:
     named = sections.where(long).select(F.struct("relative_path", "chunk_no", "start_char", "parent_section").alias("_at"), "chunk_text")
     parts = recursive_split(named.withColumn("_key", F.to_json("_at", {"ignoreNullFields": "false"})), "chunk_text", "_key", size, lap)
     at = F.from_json("_key", "relative_path string, chunk_no int, start_char int, parent_section string")
-    parts = parts.withColumn("_at", at).select("_at.relative_path", (F.col("_at.chunk_no") * 100_000 + F.col("chunk_no")).alias("chunk_no"), "chunk_text", (F.col("_at.start_char") + F.col("start_char")).alias("start_char"), (F.col("_at.start_char") + F.col("end_char")).alias("end_char"), "_at.parent_section")
-    columns = ["relative_path", "chunk_no", "chunk_text", "start_char", "end_char", "parent_section"]
-    short = sections.where(~long).withColumn("chunk_no", F.col("chunk_no") * 100_000)
-    every = reduce(DataFrame.unionByName, [d.select(columns) for d in (language, code, short, parts)])
-    return every.join(typed.drop("text"), "relative_path")
+    parts = parts.withColumn("_at", at).select("_at.relative_path", F.col("_at.chunk_no").alias("_section"), F.col("chunk_no").alias("_part"), "chunk_text", (F.col("_at.start_char") + F.col("start_char")).alias("start_char"), (F.col("_at.start_char") + F.col("end_char")).alias("end_char"), "_at.parent_section")
+    columns = ["relative_path", "_section", "_part", "chunk_text", "start_char", "end_char", "parent_section"]
+    flat = [d.withColumn("_section", F.col("chunk_no")).withColumn("_part", F.lit(0)) for d in (language, code, sections.where(~long))]
+    every = reduce(DataFrame.unionByName, [d.select(columns) for d in (*flat, parts)])
+    # Chunks are counted through their file, whichever chunker they come from: any number of sections of any number of parts.
+    number = (F.row_number().over(Window.partitionBy("relative_path").orderBy("_section", "_part")) - 1).cast("long")
+    return every.withColumn("chunk_no", number).drop("_section", "_part").join(typed.drop("text"), "relative_path")
 
 
-def index_files(files: DataFrame, config: Config, embedder: Embedder, next_vec_id: int = 0, after_chunking: Hook | None = None) -> tuple[DataFrame, DataFrame]:
+def index_files(files: DataFrame, config: Config, embedder: Embedder, next_vec_id: int = 0, after_chunking: Hook | None = None, after_loading: Hook | None = None) -> tuple[DataFrame, DataFrame]:
     """(stored chunks, rows set aside because they are blank). Ids go on densely from ``next_vec_id`` in order of path and place.
 
-    Tags that the user gave are kept apart (``user_tags``) from those found in the text (``tags``).
+    Tags that the user gave are kept apart (``user_tags``) from those found in the text (``tags``). The hooks change the
+    loaded files and the chunks; files loaded by the page bring ``page_number`` and ``total_pages``.
     """
+    files = after_loading(files) if after_loading else files
     chunks = chunk_files(files, config)
     chunks = after_chunking(chunks) if after_chunking else chunks
     good, blank = quarantine_blank(chunks, "chunk_text")
@@ -58,26 +62,30 @@ def index_files(files: DataFrame, config: Config, embedder: Embedder, next_vec_i
     else:
         none = F.array().cast("array<string>")
         good = good.withColumn("_r", F.struct(none.alias("refs"), none.alias("symbols"), none.alias("tags")))
-    given = files.select("relative_path", ordered_set(F.col("tags")).alias("user_tags"), "mime_type", "filename_stem")
+    pages = [(F.col(c) if c in files.columns else F.lit(None)).cast("int").alias(c) for c in ("page_number", "total_pages")]
+    given = files.select("relative_path", ordered_set(F.col("tags")).alias("user_tags"), "mime_type", "filename_stem", *pages)
     numbered_rows = numbered(good.join(given, "relative_path"), ["relative_path", "chunk_no", "start_char"], "vec_id", next_vec_id)
     embedded = embedder.embed(numbered_rows, "chunk_text")
     stored = embedded.select(
         "vec_id", F.sha2(F.concat_ws("\u0001", "relative_path", F.col("chunk_no").cast("string"), "chunk_text"), 256).alias("chunk_id"), F.col("relative_path").alias("source_path"), "source_type", "chunk_text", "start_char", "end_char",
         F.current_timestamp().alias("created_at"), "file_extension", F.lit(embedder.provider).alias("embedding_provider"), F.lit(embedder.model).alias("embedding_model"), "user_tags", F.col("_r.tags").alias("tags"), F.col("_r.refs").alias("ref_names"), F.col("_r.symbols").alias("code_symbols"),
-        "parent_section", F.struct("mime_type", F.col("relative_path"), "filename_stem", F.col("chunk_no").alias("chunk_index")).alias("metadata"), "embedding",
+        "parent_section", F.struct("mime_type", F.col("relative_path"), "filename_stem", F.col("chunk_no").alias("chunk_index"), F.col("parent_section").alias("chunk_name"), "page_number", "total_pages").alias("metadata"), "embedding",
     )
     return stored, blank
 
 
-def search(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], k: int = 5, weight: float = 0.3, hybrid: bool = True, score_mode: str = "similarity") -> DataFrame:
-    """Ranked and explained results, best first: twice k candidates by vector, blended with keyword scores, k of them kept."""
+def search(chunks: DataFrame, vectors: DataFrame, keywords: keyword.KeywordIndex | None, query: str, query_vector: list[float], k: int = 5, weight: float = 0.3, score_mode: str = "similarity") -> DataFrame:
+    """Ranked and explained results, best first: twice k candidates by vector, blended with keyword scores, k of them kept.
+
+    Without a keyword index the vectors alone decide. The texts are read only for the k results.
+    """
     hits = cut(vector.vector_topk(vectors, query_vector, 2 * k))
     if score_mode == "compat":
-        hits = vector.compat_scores(hits, clamp=not hybrid)
+        hits = vector.compat_scores(hits, clamp=keywords is None)
     else:
         hits = hits.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))))
-    if hybrid:
-        best = keyword.hybrid_topk(hits, keyword.keyword_scores(chunks, "chunk_text", "vec_id", query), k, weight)
+    if keywords:
+        best = keyword.hybrid_topk(hits, keyword.keyword_scores(keywords, query), k, weight)
     else:
         best = hits.orderBy(F.desc("score"), "vec_id").limit(k).select("vec_id", F.col("score").alias("vector_score"), F.lit(None).cast("double").alias("keyword_score"), "score")
     found = vector.lookup(best, chunks.select("vec_id", "chunk_id", "source_path", "source_type", "chunk_text", "start_char", "end_char", "parent_section"))

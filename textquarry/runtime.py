@@ -1,8 +1,9 @@
-"""Session helpers shared by every operator: tables, checkpoints, size-checked broadcasts."""
+"""Session helpers shared by every operator: tables, checkpoints, small files, size-checked broadcasts."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a temporary one only where none is configured."""
+    """The session's shared checkpoint folder; where none is configured, a temporary one, but only on a single machine."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
@@ -26,10 +27,53 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+class Folder:
+    """Small files and names below a folder on any file system that Spark can reach."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path, self._jvm = path, spark._jvm
+        self._fs = self._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def exists(self, name: str = "") -> bool:
+        return self._fs.exists(self._at(name))
+
+    def names(self) -> list[str]:
+        """Names in the folder, in order; none if it isn't there."""
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(""))) if self.exists() else []
+
+    def stamps(self, name: str) -> str:
+        """Names, sizes and times of a file, or of those in a folder, as one text."""
+        found = self._fs.listStatus(self._at(name)) if self.exists(name) else []
+        return "\n".join(sorted(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in found))
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._at(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """A file that is there whole or not at all; the name must be new."""
+        stream = self._fs.create(self._at(f".{name}"), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        if not self._fs.rename(self._at(f".{name}"), self._at(name)):
+            raise FileExistsError(f"{self.path}/{name}")
+
+    def delete(self, name: str = "") -> None:
+        self._fs.delete(self._at(name), True)
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)

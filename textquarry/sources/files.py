@@ -5,6 +5,7 @@ All functions take and return DataFrames or columns; nulls in, nulls out, and no
 
 from __future__ import annotations
 
+import mimetypes
 import os
 import re
 from collections.abc import Iterator
@@ -59,6 +60,13 @@ def route(extension: Column, mime: Column) -> Column:
     return F.when((ext == "pdf") | (F.coalesce(mime, F.lit("")) == "application/pdf"), "pdf").when(ext.isin(TEXT_EXTENSIONS) | F.coalesce(mime, F.lit("")).startswith("text/"), "text").otherwise("skip")
 
 
+def mime_type(extension: Column) -> Column:
+    """The registered media type of an extension without dot; null for none."""
+    known = mimetypes.MimeTypes()
+    pairs = [(e, t) for e in TEXT_EXTENSIONS if (t := known.guess_type(f"x.{e}")[0])]
+    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])[extension]
+
+
 def parse_tags(tags: Column, distinct: bool = True) -> Column:
     """The trimmed non-empty parts of a comma list, in order; once each if distinct; none for null."""
     parts = F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), ","), strip), lambda t: t != "")
@@ -126,12 +134,12 @@ def _loaded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 start, held, contents = n, 0, []
 
 
-def list_files(spark: SparkSession, base: str, include: list[str] | None = None, exclude: list[str] | None = None, exclude_directories: list[str] | None = None, max_file_size_mb: int = 10) -> DataFrame:
+def list_files(spark: SparkSession, base: str, include: list[str] | None = None, exclude: list[str] | None = None, exclude_directories: list[str] | None = None, max_file_size_mb: int | None = None) -> DataFrame:
     """The text files below a local (or everywhere mounted) folder, or the one file: ``at, full_path, relative_path, length``.
 
     Hidden and underscore names are listed like all others; Spark's own sources skip them. The driver looks for directories
-    only, and for no more than are needed to spread the walk over tasks. Empty files, larger ones than the limit, and
-    those that are neither text nor attribute files, are left out.
+    only, and for no more than are needed to spread the walk over tasks. Empty files, larger ones than the limit (if there
+    is one), and those that are neither text nor attribute files, are left out.
     """
     root = os.fsencode(os.path.abspath(re.sub(r"^file:/*", "/", base)))
     schema = "at binary, full_path string, relative_path string, length long"
@@ -143,7 +151,8 @@ def list_files(spark: SparkSession, base: str, include: list[str] | None = None,
             done, todo = done + todo, [d for t in todo for d in _subdirectories(t)]
         walks = spark.createDataFrame([(d, False) for d in done] + [(d, True) for d in todo], "directory binary, deep boolean")
         files = walks.repartition(2 * spark.sparkContext.defaultParallelism, "directory").mapInPandas(partial(_listed, root), schema)
-    files = files.where(F.col("length").between(1, max_file_size_mb * (1 << 20)))
+    files = files.where(F.col("length") >= 1)
+    files = files if max_file_size_mb is None else files.where(F.col("length") <= max_file_size_mb * (1 << 20))
     files = crawl_filter(exclude_dirs(files, "relative_path", exclude_directories or []), "relative_path", include, exclude)
     mime = F.when(F.substring_index("relative_path", "/", -1) == ".gitattributes", "text/plain")
     return files.where(route(extension_of(F.col("relative_path")), mime) == "text")
@@ -152,7 +161,8 @@ def list_files(spark: SparkSession, base: str, include: list[str] | None = None,
 def read_files(spark: SparkSession, base: str, include: list[str] | None = None, exclude: list[str] | None = None, exclude_directories: list[str] | None = None, max_file_size_mb: int = 10, tags: str = "") -> DataFrame:
     """Text files below a folder: ``relative_path, full_path, file_extension, filename_stem, mime_type, size_bytes, tags, text``.
 
-    The files of ``list_files``, read in tasks; bytes that aren't UTF-8 are read as Latin-1.
+    The files of ``list_files``, read in tasks; bytes that aren't UTF-8 are read as Latin-1. Larger files than the limit
+    aren't read; ``list_files`` without a limit shows which they are.
     """
     listed = list_files(spark, base, include, exclude, exclude_directories, max_file_size_mb)
     # A fixed number of tasks: by the size of the names alone, adaptive execution would read all files in one.
@@ -162,5 +172,5 @@ def read_files(spark: SparkSession, base: str, include: list[str] | None = None,
     utf8 = F.col("content").cast("string")
     text = F.when(F.is_valid_utf8(utf8), utf8).otherwise(F.decode("content", "ISO-8859-1"))
     return files.select(
-        "relative_path", "full_path", ext.alias("file_extension"), stem_of(F.col("relative_path")).alias("filename_stem"), F.lit("text/plain").alias("mime_type"), F.col("length").alias("size_bytes"), parse_tags(F.lit(tags)).alias("tags"), newlines(text).alias("text")
+        "relative_path", "full_path", ext.alias("file_extension"), stem_of(F.col("relative_path")).alias("filename_stem"), mime_type(ext).alias("mime_type"), F.col("length").alias("size_bytes"), parse_tags(F.lit(tags)).alias("tags"), newlines(text).alias("text")
     )

@@ -1,86 +1,99 @@
-"""A stored index: versions of a Parquet table and a small file that names the current one.
+"""A stored index: folders of rows that are only ever added, and small files that say which of them are the index.
 
-A version is written in full before the pointer moves, so a lost executor or a failed job leaves the last good version in
-place. Versions are partitioned by ``source_type``; vectors lie in the same files and are pruned where they aren't read.
+A version names its folders; the newest version is the current one. Adding rows writes one folder and one version, and
+rewrites nothing. A version is written after its rows, so a lost executor or a failed job leaves the last good version in
+place. Rows are partitioned by ``source_type``; vectors lie in the same files and are pruned where they aren't read. All
+access goes through the file system of the path, so the index may lie on any that the cluster shares.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_POINTER = "_current.json"
+from textquarry.runtime import Folder
 
 
 class IndexStore:
     def __init__(self, spark: SparkSession, path: str, keep: int = 3):
         self.spark, self.path, self.keep = spark, path, keep
+        self.folder = Folder(spark, path)
 
     def versions(self) -> list[str]:
         """Names of the stored versions, oldest first."""
-        return sorted(v for v in os.listdir(self.path) if v.startswith("v=")) if os.path.isdir(self.path) else []
+        return [n for n in self.folder.names() if n.startswith("v=")]
 
     def current(self) -> dict | None:
-        pointer = os.path.join(self.path, _POINTER)
-        if not os.path.exists(pointer):
-            return None
-        with open(pointer) as f:
-            return json.load(f)
+        """The newest version; None if there is none or the index was cleared."""
+        names = self.versions()
+        meta = json.loads(self.folder.read(names[-1])) if names else {"parts": None}
+        return None if meta["parts"] is None else meta
 
     def load(self) -> DataFrame | None:
-        """The current version, or None."""
+        """The rows of the current version, or None."""
         meta = self.current()
-        return None if meta is None else self._read(meta["version"], meta["schema"])
-
-    def _read(self, version: str, schema: dict) -> DataFrame:
+        if meta is None:
+            return None
         # The schema is stored too, so that an empty version can be read.
-        return self.spark.read.schema(T.StructType.fromJson(schema)).parquet(os.path.join(self.path, version))
+        schema = T.StructType.fromJson(meta["schema"])
+        return self._read(schema, meta["parts"])
 
-    def _next_id(self, version: str, schema: dict) -> int:
-        last = self._read(version, schema).agg(F.max("vec_id")).first()[0]
-        return 0 if last is None else last + 1
+    def _read(self, schema: T.StructType, parts: list[str]) -> DataFrame:
+        rows = self.spark.read.schema(schema).option("basePath", self.path).parquet(*[f"{self.path}/{p}" for p in parts])
+        return rows.select(schema.names)
+
+    def _write(self, chunks: DataFrame) -> tuple[str, int]:
+        """(folder of the rows, id after their largest)."""
+        part = f"part={time.time_ns()}"
+        chunks.write.partitionBy("source_type").parquet(f"{self.path}/{part}")
+        last = self._read(chunks.schema, [part]).agg(F.max("vec_id")).first()[0]
+        return part, -1 if last is None else last
 
     def save(self, chunks: DataFrame, **meta) -> dict:
-        """Write a new version and make it current; older ones beyond ``keep`` are deleted (0 or less keeps all)."""
-        version = f"v={time.time_ns()}"
-        chunks.write.partitionBy("source_type").parquet(os.path.join(self.path, version))
-        schema = json.loads(chunks.schema.json())
-        return self._point({"version": version, "schema": schema, "next_vec_id": self._next_id(version, schema), **meta})
+        """Make these rows the index; older versions beyond ``keep`` are deleted (0 or less keeps all)."""
+        part, last = self._write(chunks)
+        return self._publish(meta | {"parts": [part], "schema": json.loads(chunks.schema.json()), "next_vec_id": last + 1})
 
     def append(self, chunks: DataFrame, **meta) -> dict:
-        """A new version with these rows added to the current ones."""
-        now = self.load()
-        return self.save(chunks if now is None else now.unionByName(chunks.select(now.columns)), **meta)
-
-    def _point(self, meta: dict) -> dict:
-        temporary = os.path.join(self.path, _POINTER + ".new")
-        with open(temporary, "w") as f:
-            json.dump(meta, f)
-        os.replace(temporary, os.path.join(self.path, _POINTER))
+        """Add rows to the current ones; only the new rows are written."""
+        now = self.current()
+        if now is None:
+            return self.save(chunks, **meta)
+        schema = T.StructType.fromJson(now["schema"])
+        part, last = self._write(chunks.select(schema.names))
+        return self._publish(now | meta | {"parts": [*now["parts"], part], "next_vec_id": max(now["next_vec_id"], last + 1)})
+
+    def _publish(self, meta: dict) -> dict:
+        meta = meta | {"version": f"v={time.time_ns():020d}"}
+        self.folder.write(meta["version"], json.dumps(meta))
         if self.keep > 0:
-            old = [v for v in self.versions() if v != meta["version"]]
-            for v in old[: max(0, len(old) - self.keep)]:
-                shutil.rmtree(os.path.join(self.path, v))
+            versions = self.versions()
+            kept = versions[-1 - self.keep :]
+            used = {p for v in kept for p in json.loads(self.folder.read(v))["parts"] or []}
+            for name in self.folder.names():
+                # A folder newer than this version belongs to a writer still at work.
+                if name in versions and name not in kept or name.startswith("part=") and name not in used and int(name[5:]) < int(kept[0][2:]):
+                    self.folder.delete(name)
+                    if name in versions:
+                        self.folder.delete(f"keywords/{name}")
         return meta
 
     def restore_previous(self) -> dict | None:
-        """Make the newest version before the current one current; None if there is none."""
-        meta = self.current()
-        before = [v for v in self.versions() if meta and v < meta["version"]]
-        if meta is None or not before:
+        """Make the newest version before the current one current again; None if there is none."""
+        now = self.current()
+        before = [v for v in self.versions() if now and v < now.get("restored", now["version"])]
+        if not before:
             return None
-        return self._point(meta | {"version": before[-1], "next_vec_id": self._next_id(before[-1], meta["schema"])})
+        meta = json.loads(self.folder.read(before[-1]))
+        return None if meta["parts"] is None else self._publish(meta | {"restored": before[-1]})
 
     def clear(self, files: bool = False) -> None:
         """Forget the current version, and delete the files if asked."""
-        pointer = os.path.join(self.path, _POINTER)
-        if os.path.exists(pointer):
-            os.remove(pointer)
-        if files and os.path.isdir(self.path):
-            shutil.rmtree(self.path)
+        if files:
+            self.folder.delete()
+        elif self.current() is not None:
+            self._publish({"parts": None})

@@ -10,6 +10,7 @@ _TRUE = ("true", "1", "yes", "on")
 
 @dataclass
 class Config:
+    # Names and defaults of the settings.
     index_dir: str = "./index"
     index_name: str = "chunks"
     auto_persist: bool = True

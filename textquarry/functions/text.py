@@ -68,14 +68,17 @@ def matches_any(c: Column, globs: list[str]) -> Column:
 
 def preview(c: Column, limit: int = 400) -> Column:
     """A short form of a text, cut behind a sentence in the last 30 %, else at a blank in the last 20 %, else hard."""
+    def shown(clean: Column, head: Column) -> Column:
+        last = lambda ch: F.when(F.contains(head, F.lit(ch)), F.lit(limit) - F.locate(ch, F.reverse(head))).otherwise(-1)
+        sentence, blank = F.greatest(last("."), last("!"), last("?")), last(" ")
+        return (
+            F.when(F.length(clean) <= limit, clean)
+            .when(sentence > limit * 0.7, F.concat(F.left(head, sentence + 1), F.lit("...")))
+            .when(blank > limit * 0.8, F.concat(F.left(head, blank), F.lit("...")))
+            .otherwise(F.concat(head, F.lit("...")))
+        )
+
     clean = F.replace(F.replace(strip(c), F.lit("\n\n\n"), F.lit("\n\n")), F.lit("\t"), F.lit(" "))
-    head = F.left(clean, F.lit(limit))
-    last = lambda ch: F.when(F.contains(head, F.lit(ch)), F.lit(limit) - F.locate(ch, F.reverse(head))).otherwise(-1)
-    sentence, blank = F.greatest(last("."), last("!"), last("?")), last(" ")
-    return (
-        F.when(c.isNull() | (c == ""), "[No content available]")
-        .when(F.length(clean) <= limit, clean)
-        .when(sentence > limit * 0.7, F.concat(F.left(head, sentence + 1), F.lit("...")))
-        .when(blank > limit * 0.8, F.concat(F.left(head, blank), F.lit("...")))
-        .otherwise(F.concat(head, F.lit("...")))
-    )
+    # Bound as the variable of a one-element array, so that the text is cleaned once.
+    out = F.transform(F.array(clean), lambda t: F.transform(F.array(F.left(t, F.lit(limit))), lambda h: shown(t, h))[0])[0]
+    return F.when(c.isNull() | (c == ""), "[No content available]").otherwise(out)

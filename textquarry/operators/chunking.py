@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions.text import BLANKS, split_words
+from textquarry.runtime import dealt
 
 #: Words are estimated at so many tokens each.
 TOKENS_PER_WORD = 1.3
@@ -33,7 +34,7 @@ def _window_sizes(chunk_size: int, overlap: int) -> tuple[int, int]:
 
 
 def _cut_texts(df: DataFrame, text: str, keys: list[str], columns: str, pieces: Callable[[str], Iterable[tuple]]) -> DataFrame:
-    """The keys with the pieces that a function makes of each text, in batches of bounded size; null and blank texts give none. No shuffle."""
+    """The keys with the pieces that a function makes of each text, in batches of bounded size; null and blank texts give none."""
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields] + [columns])
     names = [c.split()[0] for c in columns.split(", ")]
 
@@ -56,7 +57,7 @@ def _cut_texts(df: DataFrame, text: str, keys: list[str], columns: str, pieces:
                         at, rows, held = [], [], 0
             yield batch()
 
-    return df.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text")).mapInPandas(cut, schema)
+    return dealt(df.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text"))).mapInPandas(cut, schema)
 
 
 def token_windows(df: DataFrame, text: str, keys: list[str], chunk_size: int = 512, overlap: int = 50) -> DataFrame:

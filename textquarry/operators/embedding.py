@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -27,6 +28,11 @@ class Embedder(Protocol):
         """``df`` with ``embedding``."""
 
 
+@lru_cache(1 << 18)
+def _hash(word: str) -> int:
+    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+
+
 class HashingEmbedder:
     """Signed counts of hashed words, at length one: a word's slot and sign come from the first 8 hex digits of its MD5 sum."""
 
@@ -47,7 +53,7 @@ class HashingEmbedder:
             for ws in words:
                 v = np.zeros(d)
                 for w in [] if ws is None else ws:
-                    h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+                    h = _hash(w)
                     v[h % d] += 1.0 if (h // d) % 2 == 0 else -1.0
                 n = np.linalg.norm(v)
                 out.append(v / n if normalize and n else v)

@@ -15,17 +15,20 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.functions.text import BLANKS, STOP_WORDS
-from textquarry.runtime import Folder, cut, ensure_checkpoint_dir
+from textquarry.runtime import Folder, dealt, ensure_checkpoint_dir
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 MAX_FEATURES, MAX_DF = 10_000, 0.95
-#: Postings of a bucket, and texts whose postings of one term share a file.
-BUCKET_POSTINGS, FILE_TEXTS = 2_000_000, 2_000_000
+#: Postings of a bucket, most buckets, and texts whose postings of one term share a file.
+BUCKET_POSTINGS, BUCKETS, FILE_TEXTS = 250_000, 4096, 2_000_000
 
 _BLANK = re.compile(f"[{BLANKS}]+")
 _CONTENT = re.compile(r"\w{2,}")
@@ -57,7 +60,7 @@ def _forward(docs: DataFrame, text: str, key: str, stop_words: frozenset[str]) -
             yield pd.DataFrame(rows, columns=columns)
 
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.lower(text).alias("text"))
-    return rows.mapInPandas(read, f"key {kind}, dl long, words array<string>, word_tf array<long>, grams array<string>, gram_tf array<long>")
+    return dealt(rows).mapInPandas(read, f"key {kind}, dl long, words array<string>, word_tf array<long>, grams array<string>, gram_tf array<long>")
 
 
 def _term_counts(rows: DataFrame, terms: str, times: str) -> DataFrame:
@@ -67,7 +70,7 @@ def _term_counts(rows: DataFrame, terms: str, times: str) -> DataFrame:
 
 
 class KeywordIndex:
-    """Stored tables below a folder: ``words`` and ``grams`` (postings by bucket), ``terms`` (document frequencies), ``stats``."""
+    """Stored tables below a folder: ``texts`` (what each has), ``words`` and ``grams`` (postings by bucket), ``terms`` (document frequencies), ``stats``."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -88,10 +91,12 @@ class KeywordIndex:
         if cls.is_built(spark, path):
             return cls(spark, path)
         stops = frozenset(STOP_WORDS if stop_words is None else stop_words)
-        rows = cut(_forward(docs, text, key, stops))
+        _forward(docs, text, key, stops).write.mode("overwrite").parquet(f"{path}/texts")
+        rows = spark.read.parquet(f"{path}/texts")
         sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg"), F.sum(F.size("words")).alias("postings")).first()
         n, postings = sizes["n"], sizes["postings"] or 0
-        buckets, spread = max(1, -(-postings // BUCKET_POSTINGS)), max(1, -(-n // FILE_TEXTS))
+        buckets = min(BUCKETS, max(1, -(-postings // BUCKET_POSTINGS)))
+        spread = max(1, -(-n // FILE_TEXTS), postings // (8 * BUCKET_POSTINGS * buckets))
         bucket = F.pmod(F.crc32("term"), F.lit(buckets)).cast("int")
 
         def store(posted: DataFrame, name: str) -> None:
@@ -104,20 +109,23 @@ class KeywordIndex:
         summed = spark.read.schema("term string, df long, idf double, bucket int").parquet(f"{path}/terms").agg(F.count(F.lit(1)).alias("vocabulary"), F.avg("idf").alias("mean")).first()
         # The vocabulary of the features is bounded by max_features, ties in order of the feature.
         chosen = _term_counts(rows, "grams", "gram_tf").where(F.col("df") <= max_df * n).orderBy(F.desc("total"), "term").limit(max_features)
-        weights = spark.sparkContext.broadcast({r["term"]: math.log((1.0 + n) / (1 + r["df"])) + 1 for r in chosen.collect()})
-
-        def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            idf = weights.value
-            for pdf in batches:
-                out = []
-                for k, grams, times in zip(pdf["key"], pdf["grams"], pdf["gram_tf"]):
-                    found = [(k, g, int(tf) * idf[g]) for g, tf in zip(grams, times) if g in idf]
-                    length = math.sqrt(sum(v * v for _, _, v in found))
-                    out += [(k, g, v / length, idf[g]) for k, g, v in found]
-                yield pd.DataFrame(out, columns=["key", "term", "weight", "idf"])
+        idf = {r["term"]: math.log((1.0 + n) / (1 + r["df"])) + 1 for r in chosen.collect()}
+        shared = spark.sparkContext.broadcast((pa.array(list(idf), pa.string()), np.array(list(idf.values()))))
+
+        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            terms, values = shared.value
+            for batch in batches:
+                grams, times = batch["grams"], batch["gram_tf"]
+                at = pc.index_in(grams.flatten(), terms)
+                known = pc.is_valid(at)
+                row = pc.list_parent_indices(grams).filter(known).to_numpy()
+                at = at.filter(known)
+                weight = times.flatten().filter(known).to_numpy() * values[at.to_numpy()]
+                length = np.sqrt(np.bincount(row, weight * weight, minlength=batch.num_rows))
+                yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(row)), terms.take(at), pa.array(weight / length[row]), pa.array(values[at.to_numpy()])], ["key", "term", "weight", "idf"])
 
         kind = rows.schema["key"].dataType.simpleString()
-        store(rows.select("key", "grams", "gram_tf").mapInPandas(weigh, f"key {kind}, term string, weight double, idf double"), "grams")
+        store(rows.select("key", "grams", "gram_tf").mapInArrow(weigh, f"key {kind}, term string, weight double, idf double"), "grams")
         stats = (key, n, float(sizes["avg"] or 0.0), summed["mean"], buckets, postings, summed["vocabulary"], sorted(stops))
         spark.createDataFrame([stats], "key_name string, documents long, average_length double, mean_idf double, buckets long, postings long, vocabulary long, stop_words array<string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
         return cls(spark, path)

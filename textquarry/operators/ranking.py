@@ -54,6 +54,7 @@ def confidence(vector: Column, keyword: Column, score: Column) -> dict[str, Colu
 
 def relevance_reason(kind: Column, terms: Column) -> Column:
     """One sentence or two on why a result is there."""
+    # The wording of the reasons.
     n = F.size(terms)
     return (
         F.when(kind == "exact", "Contains exact match of query terms")

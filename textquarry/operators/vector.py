@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions.vectors import dot, literal
+from textquarry.runtime import dealt
 
-#: Queries per block of a batched search: what is broadcast at once.
-QUERY_BLOCK = 16_384
+#: Numbers in a block of the queries of a batched search: what is broadcast at once, in doubles 64 MB.
+BLOCK_NUMBERS = 8 << 20
 
 
 def vector_topk(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -37,13 +38,13 @@ def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str =
     """``query_id, key, score, rank``: the k best rows of each query (of its own ``group``, if given), itself excluded.
 
     Queries are sent out in blocks of bounded size; each task multiplies its rows with a block and keeps k per query,
-    and only those are shuffled.
+    and only those are shuffled. Each block is a scan of the vectors, which costs little beside the multiplication.
     """
     spark = vectors.sparkSession
     chosen = vectors.select(F.col(key), F.col(column).alias("v"), (F.col(group) if group else F.lit("")).alias("g")).where(F.col("v").isNotNull())
     asked = queries.select(F.col(key).alias("id"), F.col(column).alias("v"), (F.col(group) if group else F.lit("")).alias("g")).where(F.col("v").isNotNull())
-    number = asked.count()
-    blocks = max(1, -(-number // QUERY_BLOCK))
+    numbers = asked.agg(F.sum(F.size("v"))).first()[0] or 0
+    blocks = max(1, -(-numbers // BLOCK_NUMBERS))
     parts = []
     for b in range(blocks):
         mine = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas()
@@ -56,21 +57,23 @@ def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str =
                     if (g, n) not in sent.value:
                         continue
                     ids, q = sent.value[(g, n)]
-                    rows = rows.sort_values(key)
                     have = rows[key].to_numpy()
                     x = np.stack(rows["v"].to_numpy()).astype(np.float64)
                     for start in range(0, len(ids), 512):
                         score = np.round(q[start : start + 512] @ x.T, 9)
                         score[ids[start : start + 512][:, None] == have[None, :]] = -np.inf
                         take = min(k, score.shape[1])
-                        # A stable sort of the candidates at or above the k-th score keeps the smaller id on ties.
-                        top = np.argsort(-score, axis=1, kind="stable")[:, :take]
-                        s = np.take_along_axis(score, top, axis=1).ravel()
-                        found = pd.DataFrame({"query_id": np.repeat(ids[start : start + 512], take), key: have[top.ravel()], "score": s})
-                        out.append(found[np.isfinite(found["score"])])
+                        # All that reach the k-th score; of those that tie, the smaller ids stay.
+                        least = np.partition(score, score.shape[1] - take, axis=1)[:, score.shape[1] - take]
+                        asks, at = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+                        order = np.lexsort((have[at], -score[asks, at], asks))
+                        asks, at = asks[order], at[order]
+                        kept = np.arange(len(asks)) - np.searchsorted(asks, asks) < take
+                        asks, at = asks[kept], at[kept]
+                        out.append(pd.DataFrame({"query_id": ids[start : start + 512][asks], key: have[at], "score": score[asks, at]}))
                 yield pd.concat(out) if out else pd.DataFrame({"query_id": [], key: [], "score": []})
 
-        parts.append(chosen.mapInPandas(best, f"query_id long, {key} long, score double"))
+        parts.append(dealt(chosen).mapInPandas(best, f"query_id long, {key} long, score double"))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Largest estimated size (bytes) of a side that may be broadcast; a larger side is joined by shuffle.
 BROADCAST_BYTES = 8 << 20
+#: Tables of fewer bytes than this per core are dealt out before costly work by the row.
+CORE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +92,15 @@ def small_or_plain(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A table smaller than ``CORE_BYTES`` a core, dealt out evenly: it may lie in one block that one task would read alone.
+
+    For work by the row only; larger tables stay as they are read, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if cores > 1 and estimated_bytes(df) < cores * CORE_BYTES else df
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "row_no", start: int = 0) -> DataFrame:
     """Dense numbers from ``start`` in the order of ``order``, without putting all rows in one task.
 

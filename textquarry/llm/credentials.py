@@ -1,11 +1,15 @@
 """Secret values in code, configuration and guides: their exact positions, and the text without them.
 
-A text is read lexically: credential-named identifiers and what is assigned or passed to them (literals of every
-quoting, parts of a spread literal, tags and attributes, block values, comments), passwords of URLs and of command
-lines, authorisation schemes, private keys. Placeholders, references and settings *about* secrets are left alone.
+A text is read lexically, into identifiers, literals with their escapes, and comments; literals and comments that speak of
+credentials are read again inside. What is assigned or passed to an identifier that names a credential is a secret:
+literals of every quoting, over several lines too, parts of a spread literal, bare values of configuration, tags and
+attributes, block values; so are passwords of URLs and of command lines, authorisation schemes, private keys.
+Placeholders, references and settings *about* secrets are left alone: empty, repeated or reserved words, names of
+variables and credentials, sentences.
 
 Values under names that say nothing are found by their format: the formats (a prefix such as ``abc_live_``) are
-mined from the collection, as those that many different named secrets share. The mining statistics cover all rows.
+mined from the collection, as those that several different named secrets share and that much of what has the prefix has
+such a name. The counts are exact and cover all rows.
 
 Null texts give no row; overlapping findings are merged into the longest; rows are judged one by one, so repeated
 texts give the same spans. Extra columns are ignored.
@@ -23,9 +27,10 @@ from pyspark.sql import functions as F
 
 from textquarry.runtime import cut
 
-#: A format is mined if so many different named secrets, and this share of all of them, have its prefix. The share
-#: bounds the number of formats at 1 / FORMAT_SHARE.
-FORMAT_VALUES, FORMAT_SHARE = 3, 0.004
+#: A format is mined if so many different named secrets have it, and they are this share of all different values that have it.
+FORMAT_VALUES, FORMAT_SHARE = 3, 0.1
+#: Up to so many formats are sent to all tasks; more are joined by shuffle.
+SENT_FORMATS = 50_000
 
 # Words that make an identifier the name of a secret when it ends with them.
 _CREDENTIAL = (
@@ -37,9 +42,14 @@ _PLACEHOLDERS = frozenset(
     "changeme change_me replace_me replaceme todo fixme tbd none null nil true false undefined example example-only placeholder dummy redacted hidden "
     "secret password passwd token string str your_api_key_here your-token xxx test yes no on off required optional unset empty default".split()
 )
-#: Run on the lower-cased text; the whole identifier is then read to its left.
-_NAME = re.compile(_CREDENTIAL + r"(?![a-z0-9_-])")
-_LEFT = re.compile(r"[\w.$-]*\Z")
+_NAME = re.compile(_CREDENTIAL + r"(?![a-z0-9_-])", re.I)
+_PASSWORD = re.compile(r"(?i)(?:pass|pwd)\w*$")
+#: The lexical elements: literals (a quote inside a word opens none), comments, identifiers.
+_TOKEN = re.compile(
+    r"""(?P<literal>(?<!\w)[bruf]{0,2}(?:\"\"\".*?\"\"\"|'''.*?''')|"(?:\\.|[^"\\\n])*"|(?<!\w)'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\\n])*`)|"""
+    r"""(?P<comment>(?<![:\w/])//[^\n]*|/\*.*?\*/|<!--.*?-->|(?<!\S)(?:\#|--[ \t])[^\n]*)|(?P<name>[A-Za-z_$][\w$]*(?:[.-]+[\w$]+)*)""",
+    re.S,
+)
 _ABOUT = re.compile(r"(?i)^(?:label|max|min|num|no|has|is|show|use|enable|disable|require|hint|placeholder|title|public|pub|build|make|get|find|load|read|write|apply|check|render|resolve|update|collect|merge|route|split|trim)(?:[_.-]|(?=[A-Z]))")
 #: The credential word must be a word of the identifier: ``token`` in ``authToken`` and ``auth_token``, not in ``betoken``.
 _ENDS = re.compile(r"(?:^|[^A-Za-z])(?i:" + _CREDENTIAL + r")$|[a-z0-9](?-i:Passw(?:or)?d|Passphrase|Pass|Pwd|Secret|Token|Credentials?|Key|PASSWORD|SECRET|TOKEN|KEY)$|(?i:^|[^A-Za-z])(?i:api|access|auth|db|client|my|user|smtp|root|admin)(?i:" + _CREDENTIAL + r")$")
@@ -50,11 +60,13 @@ _LITERAL = re.compile(
     r"""(?:[bru]{0,2}(?P<q>"(?!"")|'(?!'')|`)(?P<s>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q))""", re.S
 )
 _TRIPLE = re.compile(r'(?P<q>"""|\'\'\')(?P<s>.*?)(?P=q)', re.S)
-_JOIN = re.compile(r"""\s*(?:\+|\.\.?|&|\\)?\s*(?:\\\s*\n\s*|\n\s*)?(?=["'`])""")
+_JOIN = re.compile(r"""[ \t]+(?=["'])|\s*(?:\+|\.\.?|&|\\)?\s*(?:\\\s*\n\s*|\n\s*)?(?=["'`])""")
 _BLOCK = re.compile(r"[ \t]*(?:[|>][+-]?[ \t]*\r?\n[ \t]+|\r?\n[ \t]+(?=\S+[ \t]*(?:\r?\n|$)))")
 _BLOCK_VALUE = re.compile(r"[^\s\"']+")
 _LISTED = re.compile(r"""["']?[ \t]*\r?\n[ \t]+(?:value|default):[ \t]*""")
 _BARE_TAG, _BARE_TEXT = re.compile(r"[^\s<]+"), re.compile(r"[^\s\"'`<>]+")
+#: Where the next field of a list of assignments (a connection string, a query) begins.
+_NEXT_FIELD = re.compile(r"[;&,](?=[A-Za-z][\w.-]*=)")
 _CODE = re.compile(r"^[A-Za-z_][\w.]*[(\[]|^[A-Za-z_]+(?:\.[A-Za-z_]+)+$|^[a-zA-Z_]+\d{0,2}$|^[A-Za-z_]\w*(?:->|::)")
 _SCHEME = re.compile(r"(?:Bearer|Basic|Token|ApiKey)\s+", re.I)
 _URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://(?P<user>[^\s/:@\"'`<>]*):(?P<pw>[^\s/\"'`<>@]+(?:@[^\s/\"'`<>@:]+(?=@))?)@(?=[\w$\[{-])", re.I)
@@ -75,23 +87,44 @@ _REFERENCE = re.compile(r"\$\{|\{\{|%\(|<[\w -]+>|\$\(|^\$\w|^%\w+%$|^@@|^\*+$|p
 _WORDLIKE = re.compile(r"[a-z]+(?:[-_ ][a-z]+)*|[A-Z]+(?:[_-][A-Z]+)*|[A-Z][a-z]+")
 
 
-def is_placeholder(value: str, quoted: bool) -> bool:
-    """Whether a value stands for a secret without being one."""
+def is_placeholder(value: str, quoted: bool, password: bool = False) -> bool:
+    """Whether a value (bare, or the content of a literal) stands for a secret without being one; ``password``: of a name that means one."""
     v = value.strip()
     low = v.lower()
-    if len(v) < 6 or low in _PLACEHOLDERS or _REFERENCE.search(v) or re.search(r"\s", v):
-        return True
-    if len(set(low)) <= 2 or re.match(r"(?i)(?:your|my|the|insert|enter|put|some|any|example|replace|change|fake|sample)[-_ ]", v):
-        return True
-    if re.fullmatch(r"[\d.,:eE+-]+|[/.~][\w./-]*|[a-z]+://\S*|\d+\w{0,2}", v) and len(v) < 24:
+    if not v or low in _PLACEHOLDERS or _REFERENCE.search(v) or re.match(r"(?i)(?:your|my|the|insert|enter|put|some|any|example|replace|change|fake|sample)[-_ ]", v):
         return True
     if v.startswith(("-----BEGIN", "/srv/", "data:")) or re.search(r"(?i)://[^/]*@", v):
         return True
+    if quoted and re.search(r"\s", v):
+        # Words with blanks between are a sentence unless letters and other marks are mixed in one of them.
+        lines = v.split("\n")
+        spread = len(lines) > 1 and all(re.fullmatch(r"\S{6,}", l.strip()) for l in lines) and bool(re.search(r"\d", v))
+        return not spread and not (password and len(v.split()) <= 4 and re.search(r"[A-Za-z][\d@#$%^&*+=~][^\s.,]", v))
+    if re.search(r"\s", v) or len(set(low)) <= 2:
+        return True
     if _WORDLIKE.fullmatch(v):
+        # A word is a password only where the name says so, and names no credential or placeholder itself.
+        parts = re.split(r"[-_ ]", low)
+        return not (quoted and password and len(v) >= 4 and not _PLACEHOLDERS.intersection(parts) and not re.search(_CREDENTIAL, low) and v == low)
+    if len(v) < (4 if quoted and password else 6):
+        return True
+    if re.fullmatch(r"[\d.,:eE+-]+|[/.~][\w./-]*|[a-z]+://\S*|\d+\w{0,2}", v) and len(v) < 24:
         return True
     return not quoted and not re.search(r"\d", v) and not re.search(r"[^\w.-]", v)
 
 
+def credential_names(text: str, start: int = 0, end: int | None = None) -> Iterator[tuple[int, int]]:
+    """Spans of the identifiers that name a credential, in code, comments and literals."""
+    end = len(text) if end is None else end
+    for m in _TOKEN.finditer(text, start, end):
+        if m.lastgroup == "name":
+            if _NAME.search(m.group()) and _ENDS.search(m.group()) and not _ABOUT.match(re.split(r"[.$]", m.group())[-1]):
+                yield m.span()
+        elif _NAME.search(text, *m.span()):
+            first = re.match(r"[bruf]{0,2}[\"'`]+|//+|/\*+|<!--|\#+|--", m.group())
+            yield from credential_names(text, m.start() + (first.end() if first else 1), m.end() - (m.lastgroup == "literal"))
+
+
 def _literals(text: str, at: int) -> list[tuple[int, int]]:
     """The contents of the literal at this position and of those joined to it."""
     m = _TRIPLE.match(text, at) or _LITERAL.match(text, at)
@@ -99,24 +132,19 @@ def _literals(text: str, at: int) -> list[tuple[int, int]]:
     while m:
         out.append(m.span("s"))
         j = _JOIN.match(text, m.end())
-        m = j and j.end() > m.end() and j.group().strip(" \t") and _LITERAL.match(text, j.end()) or None
+        m = j and j.end() > m.end() and _LITERAL.match(text, j.end()) or None
     return out
 
 
 def named_values(text: str) -> list[tuple[int, int]]:
     """Spans of the values assigned or passed to credential names."""
     found: list[tuple[int, int]] = []
-    low = text.lower()
-    low = low if len(low) == len(text) else text
-    for m in _NAME.finditer(low):
-        listed = _LISTED.match(text, m.end())
-        s = listed or _SEPARATOR.match(text, m.end())
+    for start, stop in credential_names(text) if _NAME.search(text) else ():
+        listed = _LISTED.match(text, stop)
+        s = listed or _SEPARATOR.match(text, stop)
         if not s:
             continue
-        start = m.start() - len(_LEFT.search(text[max(0, m.start() - 80) : m.start()]).group())
-        name = text[start : m.end()]
-        if _ABOUT.match(re.split(r"[.$]", name)[-1]) or not _ENDS.search(name):
-            continue
+        password = bool(_PASSWORD.search(text[start:stop]))
         before = text[start - 1 : start] if start else ""
         sep, at = "=" if listed else s["sep"], s.end()
         mark = sep.strip()
@@ -127,7 +155,7 @@ def named_values(text: str) -> list[tuple[int, int]]:
             if not (comment or re.match(r"[\"'`]", text[at : at + 1]) or re.search(r"#define\s+$", lead)):
                 continue
         # Block and list forms of YAML.
-        block = _BLOCK.match(text, text.index(":", m.end()) + 1) if mark == ":" else None
+        block = _BLOCK.match(text, text.index(":", stop) + 1) if mark == ":" else None
         if block:
             b = _BLOCK_VALUE.match(text, block.end())
             if b and not re.search(r"[:{}]$", b.group()) and not is_placeholder(b.group(), True) and re.search(r"\d", b.group()):
@@ -144,7 +172,7 @@ def named_values(text: str) -> list[tuple[int, int]]:
                 joined = "".join(text[a:b] for a, b in spans)
             if mark == "," and before not in "\"'`":
                 continue
-            if not is_placeholder(joined, True):
+            if not is_placeholder(joined, True, password):
                 found += [x for x in spans if x[1] > x[0]]
             continue
         if mark in ("(", ","):
@@ -156,7 +184,8 @@ def named_values(text: str) -> list[tuple[int, int]]:
             continue
         a, e = b.span()
         rest = text[e : e + 1]
-        v = text[a:e].rstrip(",;") if not comment else text[a:e].rstrip(",;.)")
+        v = _NEXT_FIELD.split(text[a:e], maxsplit=1)[0]
+        v = v.rstrip(",;") if not comment else v.rstrip(",;.)")
         e = a + len(v)
         if re.search(r"[(\[{]", v) and not re.search(r"\d", v) or rest in ("(",) or is_placeholder(v, False):
             continue
@@ -218,13 +247,13 @@ def scan(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(out)
 
 
-_SPANS = "vec_id long, start_pos int, end_pos int, kind string, prefix string, value_hash long"
+_SPANS = "vec_id long, start_pos int, end_pos int, kind string, prefix string, shaped boolean, value_hash long"
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(v, a, b, kind, p, xxhash.xxh64_intdigest(t[a:b].encode("utf-8", "surrogatepass")) >> 1) for v, t in zip(pdf["vec_id"], pdf["chunk_text"]) for a, b, kind, p in scan(t)]
-        yield pd.DataFrame(rows, columns=["vec_id", "start_pos", "end_pos", "kind", "prefix", "value_hash"])
+        rows = [(v, a, b, kind, p, bool(_SHAPED.fullmatch(t, a, b)), xxhash.xxh64_intdigest(t[a:b].encode("utf-8", "surrogatepass")) >> 1) for v, t in zip(pdf["vec_id"], pdf["chunk_text"]) for a, b, kind, p in scan(t)]
+        yield pd.DataFrame(rows, columns=["vec_id", "start_pos", "end_pos", "kind", "prefix", "shaped", "value_hash"])
 
 
 def _candidates(chunks: DataFrame) -> DataFrame:
@@ -232,19 +261,19 @@ def _candidates(chunks: DataFrame) -> DataFrame:
 
 
 def mined_formats(candidates: DataFrame) -> DataFrame:
-    """``prefix``: what many different named secrets start with; at most 1 / FORMAT_SHARE rows."""
-    named = candidates.where("kind = 'named'")
-    total = named.agg(F.approx_count_distinct("value_hash", 0.02)).first()[0]
-    per_prefix = named.groupBy("prefix").agg(F.approx_count_distinct("value_hash", 0.02).alias("n"))
-    return per_prefix.where((F.col("prefix") != "") & (F.col("n") >= FORMAT_VALUES) & (F.col("n") >= FORMAT_SHARE * total)).select("prefix")
+    """``prefix``: what several different named secrets start with, and not many more other values."""
+    values = candidates.where("prefix != '' and (kind = 'shaped' or kind = 'named' and shaped)").groupBy("prefix", "value_hash").agg(F.max(F.col("kind") == "named").alias("named"))
+    per_prefix = values.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.count_if("named").alias("named"))
+    return per_prefix.where((F.col("named") >= FORMAT_VALUES) & (F.col("named") >= FORMAT_SHARE * F.col("n"))).select("prefix")
 
 
 def find_secrets(chunks: DataFrame) -> DataFrame:
     """``vec_id, start_pos, end_pos, kind``: every secret value of ``chunk_text``."""
     spans = cut(_candidates(chunks))
-    formats = mined_formats(spans)
+    formats = cut(mined_formats(spans))
+    formats = F.broadcast(formats) if formats.count() <= SENT_FORMATS else formats
     proven = spans.where("kind != 'shaped'").select("vec_id", "start_pos", "end_pos", "kind")
-    shaped = spans.where("kind = 'shaped'").join(F.broadcast(formats), "prefix", "left_semi").select("vec_id", "start_pos", "end_pos", "kind")
+    shaped = spans.where("kind = 'shaped'").join(formats, "prefix", "left_semi").select("vec_id", "start_pos", "end_pos", "kind")
     return proven.unionByName(shaped)
 
 

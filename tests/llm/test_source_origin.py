@@ -3,6 +3,8 @@ from textquarry.llm.source_origin import declared_flags, file_origins, glob_rege
 HAND = "import core\ndef load(item, count):\n    total = item + count\n    if total > limit:\n        log('over', total)\n    return find_index(total, item)\n"
 TABLE = "const T = [\n" + "\n".join("  " + ", ".join(f"0x{(i * 37 + j) % 256:02x}" for j in range(12)) + "," for i in range(12)) + "\n];\n"
 MINIFIED = "".join(f"!function(a){{b&&c.push({i})}}(d);var e{i}=f?{i}:g.h(j);" for i in range(20))
+LONG = "export const rows = [\n" + "\n".join(", ".join(str((i * 37 + j) % 1009) for j in range(60)) + "," for i in range(9)) + "\n];\n"
+WORDS = "\n".join("['alpha beta', 'gamma delta', 'epsilon', 'zeta eta theta', 'iota', 'kappa', 'lambda mu', 'nu', 'xi omicron pi', 'rho sigma', 'tau', 'upsilon phi']," for _ in range(8))
 LICENCE = "// corlib 1.2.3\n// Copyright (c) 2001 the corlib authors. All rights reserved.\n// Use is governed by the licence shipped with corlib.\n"
 
 
@@ -12,12 +14,12 @@ def kinds(df):
 
 def test_content_evidence(chunks):
     got = kinds(chunks([
-        (1, "r/app/main.py", HAND, 0), (2, "r/app/data.ts", TABLE, 0), (3, "r/app/b.js", MINIFIED, 0), (4, "r/lib/cor.js", LICENCE + HAND, 0),
+        (1, "r/app/main.py", HAND, 0), (2, "r/app/data.ts", TABLE, 0), (3, "r/app/b.js", MINIFIED, 0), (4, "r/node_modules/cor.js", HAND, 0), (11, "r/app/long.ts", LONG, 0), (12, "r/app/words.js", WORDS, 0),
         (5, "r/app/g.go", "// Code generated by x-gen v1. DO NOT EDIT.\n" + HAND, 0), (6, "r/app/o.py", "# Do not edit without asking the team first.\n" + HAND, 0),
         (7, "r/app/m.py", "# Builds the generated client code; the templates are written by hand.\n" + HAND, 0), (8, "r/README.md", TABLE, 0),
         (9, "r/app/raw.js", HAND * 12 + "const raw = '" + "aB3" * 300 + "';", 0), (10, "r/app/own.py", "# Copyright (c) the Nor team, own code of this repository.\n" + HAND, 0),
     ]))
-    assert got == {"r/app/main.py": None, "r/app/data.ts": "machine", "r/app/b.js": "minified", "r/lib/cor.js": "vendored", "r/app/g.go": "generated", "r/app/o.py": None, "r/app/m.py": None, "r/app/raw.js": None, "r/app/own.py": None}
+    assert got == {"r/app/main.py": None, "r/app/data.ts": "machine", "r/app/b.js": "minified", "r/node_modules/cor.js": "vendored", "r/app/long.ts": "machine", "r/app/words.js": "machine", "r/app/g.go": "generated", "r/app/o.py": None, "r/app/m.py": None, "r/app/raw.js": None, "r/app/own.py": None}
 
 
 def test_declared_by_attributes_with_precedence(chunks):
@@ -30,12 +32,41 @@ def test_declared_by_attributes_with_precedence(chunks):
     assert glob_regex("docs/**/x.py").match("docs/a/b/x.py") and glob_regex("*.p[yx]").match("a/b.py") and not glob_regex("/x.py").match("a/x.py")
 
 
-def test_mined_directories_and_shared_text(chunks):
+def test_attribute_files_as_documented(chunks):
+    rules = """[attr]taken linguist-vendored
+    # comment
+    vendor/ linguist-vendored
+    ext/** taken
+    "with space/*.py" linguist-generated
+    !no.py linguist-generated
+    raw/*.py -taken
+    \\#odd.py linguist-generated=true
+    back.py linguist-generated=false"""
+    paths = ["vendor/x.js", "ext/a/y.py", "with space/z.py", "no.py", "raw/q.py", "#odd.py", "back.py"]
+    got = kinds(chunks([(0, "r/.gitattributes", rules, 0)] + [(i, f"r/{p}", HAND.replace("total", f"t{i}"), 0) for i, p in enumerate(paths, 1)]))
+    assert got == {"r/vendor/x.js": "vendored", "r/ext/a/y.py": "vendored", "r/with space/z.py": "generated", "r/no.py": None, "r/raw/q.py": None, "r/#odd.py": "generated", "r/back.py": None}  # vendor: by convention
+    assert glob_regex("vendor/") is None and glob_regex("!a") is None
+    assert declared_flags([("a.py", "[attr]made linguist-generated\n*.py made"), ("a.py", "a.py !made")]) == (True, None)
+
+
+def test_mined_patterns(chunks):
+    words = "alpha beta gamma delta epsilon zeta eta".split()
     rows = [(i, f"r{i}/outgen/f{i}.ts", TABLE, 0) for i in range(6)] + [(10, "r9/outgen/plain.ts", HAND, 0), (11, "r9/app/plain.ts", HAND.replace("total", "sum"), 0)]
+    # Copies of libraries in several repositories teach what their heads say; a lone copy is then known by its head.
+    for k, name in enumerate(words[:6]):
+        body = LICENCE.replace("corlib", name) + (HAND * 3).replace("total", name)
+        rows += [(100 + 2 * k, f"r{k}/lib/{name}.js", body, 0), (101 + 2 * k, f"r{k + 1}/src/{name}/index.js", body, 0)]
+    rows += [(300 + i, f"r8/app/mine{i}.js", "// Copyright (c) the Nor team, own code of this repository.\n" + HAND.replace("total", f"m{i}"), 0) for i in range(8)]
+    rows += [(200, "r8/core/eta.js", LICENCE.replace("corlib", "eta") + HAND.replace("total", "eta"), 0), (201, "r8/core/own.js", "// Copyright (c) the Nor team, own code of this repository.\n" + HAND.replace("total", "own"), 0)]
+    got = {r["source_path"]: (r["kind"], r["reason"]) for r in file_origins(chunks(rows)).collect()}
+    assert got["r9/outgen/plain.ts"] == ("generated", "dir:outgen") and got["r9/app/plain.ts"][0] is None and got["r0/outgen/f0.ts"] == ("machine", "dir:outgen")
+    assert got["r0/lib/alpha.js"][0] == "vendored" and got["r8/core/eta.js"][0] == "vendored" and got["r8/core/eta.js"][1].startswith("say:") and got["r8/core/own.js"][0] is None
+
+
+def test_text_of_a_vendored_copy(chunks):
     body = HAND * 3
-    rows += [(20, "r1/lib/c.js", LICENCE, 0), (21, "r1/lib/c.js", body, 200), (22, "r2/util/copy.js", body, 0)]
-    got = kinds(chunks(rows))
-    assert got["r9/outgen/plain.ts"] == "mined" and got["r9/app/plain.ts"] is None and got["r2/util/copy.js"] == "vendored"
+    got = {r["source_path"]: (r["kind"], r["reason"]) for r in file_origins(chunks([(20, "r1/vendor/c.js", body, 0), (22, "r2/util/copy.js", body, 0), (23, "r3/util/other.js", body.replace("total", "sum"), 0), *[(30 + i, f"r4/util/f{i}.js", body, 0) for i in range(40)]])).collect()}
+    assert got["r1/vendor/c.js"] == ("vendored", "convention") and got["r2/util/copy.js"] == ("vendored", "shared text") and got["r3/util/other.js"] == (None, None)
 
 
 def test_edge_cases(chunks):

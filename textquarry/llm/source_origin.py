@@ -267,7 +267,7 @@ def file_origins(chunks: DataFrame) -> DataFrame:
     per_repository = named.groupBy("token", _repository().alias("repository")).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_made").alias("made"), F.count_if("is_copied").alias("copied"))
     counted = per_repository.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n", "made", "copied")], F.count_if(F.col("made") > 0).alias("made_in"), F.count_if(F.col("copied") > 0).alias("copied_in"))
     holds = lambda c: (F.col("n") >= MINED_FILES) & (F.col(f"{c}_in") >= MINED_REPOSITORIES) & (F.col(c) >= MINED_SHARE * F.col("n"))
-    mined = counted.select("token", F.when(holds("copied") & (~holds("made") | (F.col("copied") >= F.col("made"))), "vendored").when(holds("made"), "generated").alias("stands_for"), F.greatest("made", "copied").alias("weight")).where("stands_for is not null")
+    mined = counted.select("token", F.when(holds("copied") & (~holds("made") | (F.col("copied") > F.col("made"))), "vendored").when(holds("made"), "generated").alias("stands_for"), F.greatest("made", "copied").alias("weight")).where("stands_for is not null")
     matched = named.select("source_path", "token").join(mined, "token").groupBy("source_path").agg(F.max(F.struct("weight", "token", "stands_for")).alias("m")).select("source_path", F.col("m.token").alias("token"), F.col("m.stands_for").alias("mined"))
     full = known.join(matched, "source_path", "left")
     kind = (

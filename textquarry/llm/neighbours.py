@@ -1,14 +1,18 @@
 """The k most similar vectors of every vector, by a forest of random-projection trees.
 
 Vectors of one model are comparable only with each other. Equal vectors are one candidate that stands for its smallest
-ids, so a copy in a third of all rows costs no more than one vector. The trees are fitted per model on a bounded
-sample; every vector is indexed in its leaf of every tree. A query searches all trees through one priority queue
-ordered by the margin to the splitting planes: the queue is kept as a beam per level, which gives the same leaves as
-popping one node at a time, since a node's cost always is the cost of one of its leaves. The candidates of the visited
-leaves are reranked by exact cosine similarity; large leaves are compared in blocks, so no task gets an unbounded group.
+ids, so a copy in a third of all rows costs no more than one vector. Every vector is indexed in its leaf of every tree.
+A query searches all trees through one priority queue ordered by the margin to the splitting planes: the queue is kept
+as a beam per level, which gives the same leaves as popping one node at a time, since a node's cost always is the cost
+of one of its leaves. The candidates of the visited leaves are reranked by exact cosine similarity.
+
+The trees grow in tiers. The top of a model's trees is fitted on a bounded sample; leaves that then hold too many vectors
+are grown further, each on a bounded sample of its own vectors, until none does, so the comparisons per vector don't grow
+with the number of vectors. The planes of a tier lie in a table and meet the vectors of their node only. What planes
+can't part is compared in blocks, so no task gets an unbounded group.
 
 Null, all-zero and non-finite vectors, and those whose length isn't the usual one of their model, take no part;
-repeated ids count once (the first by vector order); equal similarities (to 9 decimals) go to the smaller id. Extra
+repeated ids count once (the first by a hash of the vector); equal similarities (to 9 decimals) go to the smaller id. Extra
 columns are ignored; an empty table gives no pairs.
 """
 
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,9 +29,13 @@ from pyspark.sql import functions as F
 
 from textquarry.runtime import cut, small_or_plain
 
-#: Vectors per model to which the trees are fitted: the sample, and with it the forest, is bounded.
+#: Vectors of a model, or of a leaf that grows further, to which planes are fitted.
 SAMPLE = 16_384
 TREES, VISITED, LEAF, SAMPLE_LEAF = 4, 7, 640, 8
+#: Leaves of more own vectors than this grow further, in at most so many tiers (of eleven levels each at this sample).
+GROWS, TIERS = 8 * LEAF, 6
+#: Rows of a node that meet its planes in one task, and bytes of planes sent to all tasks at once.
+ROUTED, SENT_PLANES = 50_000, 64 << 20
 #: Random directions tried per node, the points of a node they are tried on, and how central the plane must be.
 DIRECTIONS, TRIED, CENTRE = 24, 1500, (0.35, 0.65)
 #: Rows of a leaf per block.
@@ -75,21 +84,25 @@ class Tree:
         return directions[d], float(along[low + i, d] + along[low + i + width, d]) / 2
 
 
+def depth_of(n: int, sample: int, leaf: int) -> int:
+    """Levels that part n vectors into leaves, as far as a sample can say."""
+    depth = max(0, math.ceil(math.log2(max(1, n / leaf))))
+    return min(depth, int(math.log2(max(1, sample / SAMPLE_LEAF))))
+
+
 def fit_forest(points: np.ndarray, n: int, seed: int = 17) -> list[Tree]:
     """Trees for n vectors, fitted on a sample of them."""
-    depth = max(0, math.ceil(math.log2(max(1, n / LEAF))))
-    depth = min(depth, int(math.log2(max(1, len(points) / SAMPLE_LEAF))))
-    return [Tree(points, depth, np.random.default_rng(seed + t)) for t in range(TREES)]
+    return [Tree(points, depth_of(n, len(points), LEAF), np.random.default_rng(seed + t)) for t in range(TREES)]
 
 
-def visited_leaves(forest: list[Tree], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(leaf, own) per vector: the best leaves over all trees by one queue, as tree * 2**depth + leaf; own ones first."""
+def visited_leaves(forest: list[Tree], x: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tree, leaf, cost) per vector: the best leaves over all trees by one queue, the own ones first at no cost; ``start``: cost so far."""
     depth, n = forest[0].depth, len(x)
     normals = np.stack([t.normals for t in forest])
     offsets = np.stack([t.offsets for t in forest])
     tree = np.tile(np.arange(len(forest)), (n, 1))
     node = np.zeros((n, len(forest)), dtype=np.int64)
-    cost = np.zeros((n, len(forest)), dtype=np.float32)
+    cost = np.zeros((n, len(forest)), dtype=np.float32) + (0 if start is None else start[:, None])
     for level in range(depth):
         at = 2**level - 1 + node
         margin = np.einsum("nvd,nd->nv", normals[tree, at], x, optimize=True) - offsets[tree, at]
@@ -97,15 +110,15 @@ def visited_leaves(forest: list[Tree], x: np.ndarray) -> tuple[np.ndarray, np.nd
         near, far = node * 2 + right, node * 2 + ~right
         node = np.concatenate([near, far], axis=1)
         tree = np.concatenate([tree, tree], axis=1)
-        cost = np.concatenate([cost, np.maximum(cost, np.abs(margin))], axis=1)
+        cost = np.concatenate([cost, np.maximum(cost, np.maximum(np.abs(margin), np.float32(1e-12)))], axis=1)
         if node.shape[1] > VISITED:
             keep = np.argsort(cost, axis=1, kind="stable")[:, :VISITED]
             node, tree, cost = (np.take_along_axis(a, keep, axis=1) for a in (node, tree, cost))
-    return tree * 2**depth + node, cost == 0
+    return tree, node, cost
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``vec_id, model, v, h1, h2``: one unit vector (32-bit numbers as bytes) per id of the usual length of its model.
+    """``vec_id, model, v, h1, h2``: the unit vectors (32-bit numbers as bytes) of the usual length of their model.
 
     ``h1`` and ``h2`` are 128 bits of hash by which equal vectors of a model are grouped.
     """
@@ -124,44 +137,124 @@ def usable(vectors: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"vec_id": g["vec_id"].to_numpy()[good], "model": g["model"].to_numpy()[good], "v": [r.tobytes() for r in unit]})
 
     unit = right.mapInPandas(normalised, "vec_id long, model string, v binary")
-    once = unit.groupBy("vec_id").agg(F.min(F.struct("model", "v")).alias("r")).select("vec_id", "r.model", "r.v")
-    return once.withColumn("h1", F.xxhash64("model", "v")).withColumn("h2", F.xxhash64(F.lit(1), "v", "model"))
-
-
-def _forests(distinct: DataFrame) -> dict[str, list[Tree]]:
-    counts = {r["model"]: r["n"] for r in distinct.groupBy("model").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = Window.partitionBy("model").orderBy(F.xxhash64("rep"), "rep")
-    chosen = distinct.select("rep", "model").withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE).select("rep")
-    sample = distinct.join(chosen, "rep", "left_semi").select("rep", "model", "v").toPandas().sort_values("rep")
-    return {m: fit_forest(np.frombuffer(b"".join(g["v"]), dtype=np.float32).reshape(len(g), -1).astype(np.float64), counts[m]) for m, g in sample.groupby("model")}
+    return unit.withColumn("h1", F.xxhash64("model", "v")).withColumn("h2", F.xxhash64(F.lit(1), "v", "model"))
+
+
+def _stacked(v: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(v), dtype=np.float32).reshape(len(v), -1)
+
+
+def _sampled(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
+    """About ``SAMPLE`` rows of each key by a hash of their id, all where there are fewer: no group is ranked."""
+    spread = 1 << 40
+    return rows.where(F.pmod(F.xxhash64("id", *keys), F.lit(spread)) < F.lit(float(spread) * SAMPLE) / F.col(number))
+
+
+def _planted(distinct: DataFrame) -> DataFrame:
+    """``model, tree, path, cost, id, v``: the leaves that each vector visits in the top of its model's trees."""
+    spark = distinct.sparkSession
+    rows = distinct.select("model", F.col("rep").alias("id"), "v")
+    counts = {r["model"]: r for r in rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("v")).alias("size")).collect()}
+    blocks: list[list[str]] = [[]]
+    held = 0
+    for m in sorted(counts):
+        size = TREES * counts[m]["size"] << depth_of(counts[m]["n"], SAMPLE, LEAF)
+        if blocks[-1] and held + size > SENT_PLANES:
+            blocks.append([])
+            held = 0
+        blocks[-1].append(m)
+        held += size
+    placed = []
+    for models in blocks:
+        mine = rows.where(F.col("model").isin(models))
+        numbers = F.create_map(*[F.lit(x) for m in models for x in (m, counts[m]["n"])]) if models else None
+        sample = _sampled(mine.withColumn("n", numbers[F.col("model")]), ["model"], "n").toPandas().sort_values("id") if models else pd.DataFrame({"model": []})
+        forests = spark.sparkContext.broadcast({m: fit_forest(_stacked(g["v"]).astype(np.float64), counts[m]["n"]) for m, g in sample.groupby("model")})
+
+        def place(batches: Iterator[pd.DataFrame], forests=forests) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for start in range(0, len(pdf), 2048):
+                    for model, g in pdf.iloc[start : start + 2048].groupby("model"):
+                        if model in forests.value:
+                            forest = forests.value[model]
+                            tree, leaf, cost = visited_leaves(forest, _stacked(g["v"]))
+                            at = np.repeat(np.arange(len(g)), leaf.shape[1])
+                            yield pd.DataFrame({"model": model, "tree": tree.ravel(), "path": (leaf + 2 ** forest[0].depth).ravel(), "cost": cost.ravel(), "id": g["id"].to_numpy()[at], "v": g["v"].to_numpy()[at]})
+
+        placed.append(mine.mapInPandas(place, "model string, tree int, path long, cost float, id long, v binary"))
+    return reduce(DataFrame.unionByName, placed)
+
+
+_NODE = ["model", "tree", "path"]
+
+
+def _grown(placed: DataFrame, sizes: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The visits after the leaves with too many own vectors have grown a tier further."""
+    growing = sizes.where(F.col("n_own") > GROWS).select(*_NODE, "n_own", F.ceil(F.col("n") / ROUTED).cast("int").alias("salts"))
+    inside = placed.join(small_or_plain(growing), _NODE)
+    leaf = LEAF
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        points = _stacked(pdf.sort_values("id")["v"]).astype(np.float64)
+        model, tree, path = key
+        grown = Tree(points, max(1, depth_of(int(pdf["n_own"].iloc[0]), len(points), leaf)), np.random.default_rng([tree, path % 2**31]))
+        return pd.DataFrame({"model": [model], "tree": [tree], "path": [path], "depth": [grown.depth], "normals": [grown.normals.tobytes()], "offsets": [grown.offsets.tobytes()]})
+
+    planes = _sampled(inside.where("cost = 0"), _NODE, "n_own").groupBy(*_NODE).applyInPandas(fit, "model string, tree int, path long, depth int, normals binary, offsets binary")
+    # Planes and visits of a node meet in pieces of bounded size.
+    spread = cut(planes).join(growing, _NODE).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(*_NODE, "salt", "depth", "normals", "offsets")
+    salted = inside.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).select(*_NODE, "salt", "cost", "id", "v")
+
+    def route(key: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        model, tree, path, _ = key
+        out = [pd.DataFrame({"model": [], "tree": [], "path": [], "cost": [], "id": []})]
+        if len(own) and len(rows):
+            grown = Tree.__new__(Tree)
+            grown.depth = int(own["depth"].iloc[0])
+            grown.offsets = np.frombuffer(own["offsets"].iloc[0], dtype=np.float32)
+            grown.normals = np.frombuffer(own["normals"].iloc[0], dtype=np.float32).reshape(len(grown.offsets), -1)
+            for start in range(0, len(rows), 2048):
+                g = rows.iloc[start : start + 2048]
+                _, leaf, cost = visited_leaves([grown], _stacked(g["v"]), g["cost"].to_numpy())
+                out.append(pd.DataFrame({"model": model, "tree": tree, "path": (leaf + (path << grown.depth)).ravel(), "cost": cost.ravel(), "id": np.repeat(g["id"].to_numpy(), leaf.shape[1])}))
+        return pd.concat(out)
+
+    deeper = salted.groupBy(*_NODE, "salt").cogroup(spread.groupBy(*_NODE, "salt")).applyInPandas(route, "model string, tree int, path long, cost float, id long")
+    outside = placed.join(small_or_plain(growing.select(_NODE)), _NODE, "left_anti").select("model", "tree", "path", "cost", "id")
+    # The queue over all trees again: the best leaves of each vector, of those grown and those left.
+    best = deeper.unionByName(outside).groupBy("id", "model").agg(F.slice(F.array_sort(F.collect_list(F.struct("cost", "tree", "path"))), 1, VISITED).alias("best"))
+    vectors = distinct.select(F.col("rep").alias("id"), "v")
+    return best.join(vectors, "id").select("model", "id", "v", F.explode("best").alias("b")).select("model", "b.tree", "b.path", "b.cost", "id", "v")
+
+
+def _sizes(placed: DataFrame) -> DataFrame:
+    return placed.groupBy(*_NODE).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("cost") == 0).alias("n_own"))
+
+
+def visits(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``model, tree, path, cost, id, v``: the leaves that each vector visits, at no cost its own; the sizes of the leaves)."""
+    placed = _planted(distinct)
+    sizes = cut(_sizes(placed))
+    for _ in range(TIERS):
+        if sizes.where(F.col("n_own") > GROWS).isEmpty():
+            break
+        placed = cut(_grown(placed, sizes, distinct))
+        sizes = cut(_sizes(placed))
+    return placed, sizes
 
 
 def candidates(distinct: DataFrame, k: int) -> DataFrame:
     """``rep, near``: per distinct vector (``rep, model, v``) its k best candidates as (1 - similarity, rep), reranked exactly."""
-    forests = distinct.sparkSession.sparkContext.broadcast(_forests(distinct))
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for start in range(0, len(pdf), 2048):
-                for model, g in pdf.iloc[start : start + 2048].groupby("model"):
-                    v = g["v"].to_numpy()
-                    x = np.frombuffer(b"".join(v), dtype=np.float32).reshape(len(g), -1)
-                    leaf, own = visited_leaves(forests.value[model], x)
-                    at = np.repeat(np.arange(len(g)), leaf.shape[1])
-                    yield pd.DataFrame({"model": model, "leaf": leaf.ravel(), "own": own.ravel(), "id": g["rep"].to_numpy()[at], "v": v[at]})
-
-    placed = distinct.select("rep", "model", "v").mapInPandas(place, "model string, leaf long, own boolean, id long, v binary")
-    # Leaves beyond a block (unlike the sample, or more rows than the sample can divide) are compared block by block.
-    sizes = placed.groupBy("model", "leaf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("own").cast("long")).alias("n_own"))
-    sizes = sizes.select("model", "leaf", F.ceil(F.col("n") / BLOCK).cast("int").alias("q_blocks"), F.ceil(F.greatest("n_own", F.lit(1)) / BLOCK).cast("int").alias("c_blocks"))
-    # The leaves are bounded by the sample, whatever the number of rows.
-    sized = placed.join(small_or_plain(sizes), ["model", "leaf"])
+    placed, sizes = visits(distinct)
+    # Leaves beyond a block (those that planes can't part) are compared block by block.
+    sizes = sizes.select(*_NODE, F.ceil(F.col("n") / BLOCK).cast("int").alias("q_blocks"), F.ceil(F.greatest("n_own", F.lit(1)) / BLOCK).cast("int").alias("c_blocks"))
+    sized = placed.withColumn("own", F.col("cost") == 0).join(small_or_plain(sizes), _NODE)
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     single = (F.col("q_blocks") == 1) & (F.col("c_blocks") == 1)
     queries = sized.withColumn("qb", mine("q_blocks")).withColumn("cb", F.explode(every("c_blocks"))).withColumn("asks", F.lit(True)).withColumn("held", F.col("own") & single)
     held = sized.where(F.col("own") & ~single).withColumn("cb", mine("c_blocks")).withColumn("qb", F.explode(every("q_blocks"))).withColumn("asks", F.lit(False)).withColumn("held", F.lit(True))
-    columns = ["model", "leaf", "qb", "cb", "asks", "held", "id", "v"]
+    columns = [*_NODE, "qb", "cb", "asks", "held", "id", "v"]
 
     def rerank(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
@@ -181,18 +274,21 @@ def candidates(distinct: DataFrame, k: int) -> DataFrame:
             out.append(pd.DataFrame({"rep": ids[rows], "near": [[(f, c) for f, c, o in zip(*r) if not o] for r in zip(np.round(1 - exact, 9).tolist(), other.tolist(), own.tolist())]}))
         return pd.concat(out) if out else pd.DataFrame({"rep": [], "near": []})
 
-    found = queries.select(columns).unionByName(held.select(columns)).groupBy("model", "leaf", "qb", "cb").applyInPandas(rerank, "rep long, near array<struct<far:double,rep:long>>")
+    found = queries.select(columns).unionByName(held.select(columns)).groupBy(*_NODE, "qb", "cb").applyInPandas(rerank, "rep long, near array<struct<far:double,rep:long>>")
     return found.groupBy("rep").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
 
 
 def nearest(vectors: DataFrame, k: int = 5) -> DataFrame:
     """``vec_id, neighbour, sim, rank``: the k most similar others of every usable vector."""
-    rows = cut(usable(vectors))
+    unit = usable(vectors)
+    # Ids are compared by the hashes of their vectors; the vectors themselves are sent once.
+    rows = cut(unit.groupBy("vec_id").agg(F.min(F.struct("model", "h1", "h2")).alias("r")).select("vec_id", "r.h1", "r.h2"))
     # Copies: the smallest id stands for all; k + 1 ids are enough for anyone's neighbours.
     by_copy = Window.partitionBy("h1", "h2").orderBy("vec_id")
     members = rows.withColumn("copy", F.row_number().over(by_copy)).where(F.col("copy") <= k + 1)
-    groups = members.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids"), F.min_by("model", "copy").alias("model"), F.min_by("v", "copy").alias("v"))
-    distinct = cut(groups)
+    groups = members.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    each = unit.groupBy("h1", "h2").agg(F.first("model").alias("model"), F.first("v").alias("v"))
+    distinct = cut(groups.join(each, ["h1", "h2"]))
     found = candidates(distinct, k)
     reps = distinct.select("rep", "ids")
     # What a distinct vector has around it: its own copies first, then the copies of its neighbours.

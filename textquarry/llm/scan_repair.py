@@ -177,7 +177,8 @@ def repair_candidates(words: DataFrame) -> DataFrame:
     lexicon = letters.where((F.col("n") >= MIN_COUNT) & F.col("word").rlike(r"^\p{L}+(?:-\p{L}+)*$")).select("word", "n").mapInPandas(_expand, _DELETES)
     doubtful = letters.where((F.col("paged") > 0) & ~F.col("word").rlike(_ORDINAL.pattern) & F.col("word").rlike(r"\p{L}.*\p{L}")).select("word", "n").mapInPandas(_expand, _DELETES)
     l, d = lexicon.select(F.col("word").alias("fixed"), F.col("n").alias("n_fixed"), "rest"), doubtful.select(F.col("word").alias("read"), F.col("n").alias("n_read"), "rest")
-    # A remainder shared by much of the lexicon can't be hot: every pair must also differ by a factor of MIN_RATIO.
+    # A remainder meets only words longer by at most two letters, so what shares it is bounded by the alphabet (some thousands
+    # of spellings for three letters, each once), not by the rows; conditions on frequency and length are part of the join.
     met = d.join(l, "rest").where((F.col("fixed") != F.col("read")) & (F.col("n_fixed") >= MIN_RATIO * F.col("n_read")) & (F.abs(F.length("fixed") - F.length("read")) <= 3)).select("read", "fixed", "n_fixed").distinct()
 
     @F.pandas_udf("double")
@@ -279,11 +280,11 @@ def defects(chunks: DataFrame) -> DataFrame:
     counts = cut(word_counts(chunks))
     words = counts.where("after = ''").select("word", "n", "paged")
     candidates = cut(repair_candidates(words))
-    trusted = frozenset(r["word"] for r in words.where((F.col("n") >= 10 * MIN_COUNT)).join(candidates.select(F.col("read").alias("word")).distinct(), "word", "left_anti").orderBy(F.desc("n"), "word").limit(TRUSTED_WORDS).collect())
+    trusted = chunks.sparkSession.sparkContext.broadcast(frozenset(r["word"] for r in words.where((F.col("n") >= 10 * MIN_COUNT)).join(candidates.select(F.col("read").alias("word")).distinct(), "word", "left_anti").orderBy(F.desc("n"), "word").limit(TRUSTED_WORDS).collect()))
 
     def signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(p, v, *s) for p, v, t in zip(pdf["source_path"], pdf["vec_id"], pdf["chunk_text"]) for s in page_signs(t, trusted)]
+            rows = [(p, v, *s) for p, v, t in zip(pdf["source_path"], pdf["vec_id"], pdf["chunk_text"]) for s in page_signs(t, trusted.value)]
             out = pd.DataFrame(rows, columns=["source_path", "vec_id", "line_no", "kind", "word", "alt", "before", "after", "value"])
             out["value"] = out["value"].astype("Int64")
             yield out

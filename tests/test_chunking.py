@@ -102,6 +102,36 @@ def test_recursive_split_model(text, size, overlap):
     assert all(text[i].isspace() for i in range(len(text)) if i not in covered)
 
 
+def split_model(text, size, overlap, separators):
+    """The same cuts on strings: split before the coarsest separator that occurs, merge, strip."""
+    def pieces(t, seps):
+        sep = next((s for s in seps if s == "" or s in t), seps[-1])
+        if sep == "":
+            return list(t)
+        rest = seps[seps.index(sep) + 1 :]
+        head, *tail = t.split(sep)
+        parts = [head] if head else []
+        parts += [sep + x for x in tail]
+        return [q for p in parts for q in (pieces(p, rest) if len(p) >= size and rest else [p])]
+
+    chunks, held = [], []
+    for p in pieces(text, separators):
+        if held and sum(map(len, held)) + len(p) > size:
+            chunks.append("".join(held).strip())
+            while held and (sum(map(len, held)) > overlap or sum(map(len, held)) + len(p) > size):
+                held.pop(0)
+        held.append(p)
+    chunks.append("".join(held).strip())
+    return [c for c in chunks if c]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab. \n;f", max_size=200), st.integers(10, 60), st.integers(0, 9), st.sampled_from(["py", "go", None]))
+def test_recursive_split_is_its_model(text, size, overlap, language):
+    separators = separators_of(language) or PROSE
+    assert [text[a:b] for a, b in split_text(text, size, overlap, separators)] == split_model(text, size, overlap, separators)
+
+
 def test_recursive_split(spark):
     rows = recursive_split(texts(spark, "One two. " * 200, None, "  ", "é" * 100), "text", "id", 16, 4).collect()
     assert {r["id"] for r in rows} == {0, 3} and max(len(r["chunk_text"]) for r in rows) <= 64
@@ -110,6 +140,18 @@ def test_recursive_split(spark):
     assert separators_of("tsx")[0] == "\nenum " and separators_of("xyz") is None
 
 
+def test_offsets_as_searched(spark):
+    text = "aa bb. aa bb. cc dd. " * 6
+    rows = {m: recursive_split(texts(spark, text), "text", "id", 5, 2, offsets=m).orderBy("chunk_no").collect() for m in ("exact", "compat")}
+    assert [r["chunk_text"] for r in rows["exact"]] == [r["chunk_text"] for r in rows["compat"]]
+    at = 0
+    for r in rows["compat"]:
+        found = text.find(r["chunk_text"], at)
+        at = (found if found >= 0 else at) + len(r["chunk_text"])
+        assert r["end_char"] == at and r["start_char"] == at - len(r["chunk_text"])
+    assert all(text[r["start_char"] : r["end_char"]] == r["chunk_text"] for r in rows["exact"])
+
+
 def test_dispatch(spark):
     rows = spark.createDataFrame([("code", "py"), ("code", "h"), ("document", "py"), ("document", None)], "k string, e string").select(chunker_of(F.col("k"), F.col("e")).alias("c")).collect()
     assert [r["c"] for r in rows] == ["language", "code", "document", "document"]

@@ -38,7 +38,7 @@ def test_query(spark, duck, name):
     got = registry.queries()[name](spark, DATA).toPandas()
     sql = registry.oracle_sql().get(name)
     if sql is None:
-        assert len(got.columns) and name in ("code_chunks", "recursive_split", "recursive_split_code", "relationship_counts")
+        assert len(got.columns) and name in ("recursive_split", "recursive_split_code")
     else:
         assert rows(got) == rows(duck.sql(sql).df())
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions.vectors import unit
 from textquarry.operators import keyword, ranking, search_log, vector
-from textquarry.operators.embedding import HashingEmbedder, available_providers, create_embedder, quarantine_blank, register_provider
+from textquarry.operators.embedding import HashingEmbedder, available_providers, create_embedder, model_info, quarantine_blank, register_provider
 
 
 @pytest.fixture(scope="module")
@@ -93,6 +93,14 @@ def test_ranking(spark):
     assert one.select(kind.alias("m"), ranking.relevance_reason(kind, ranking.matched_terms(F.col("t"), "in")).alias("r")).first() == ("semantic", "Semantically similar to query")
 
 
+def test_positions_and_routing(spark):
+    one = spark.createDataFrame([(2, 9, 4, 3), (None, 5, None, 7)], "a int, b int, f int, l int")
+    rows = one.select(*[c.alias(n) for n, c in ranking.position(*map(F.col, "abfl")).items()]).collect()
+    assert [(r["char_length"], r["line_count"]) for r in rows] == [(7, 1), (None, None)]
+    routed = one.select(ranking.routed_metadata({"word_count": F.col("a"), "file_size": F.col("b"), "model_name": F.lit("m"), "other": F.lit(1)}).alias("m")).first()["m"]
+    assert routed["content"]["word_count"] == 2 and routed["source"]["file_size"] == 9 and routed["processing"]["model_name"] == "m" and routed["other"] == 1
+
+
 def test_embedding(spark):
     d = spark.createDataFrame([(1, "one two"), (2, ""), (3, None), (4, " \t")], "id long, text string")
     good, blank = quarantine_blank(d, "text")
@@ -101,6 +109,8 @@ def test_embedding(spark):
     assert sum(x * x for x in e[0]["embedding"]) == pytest.approx(1) and set(e[1]["embedding"]) == {0.0}
     vectors = spark.createDataFrame([(1, [1.0]), (1, [1.0])], "id long, embedding array<float>")
     assert create_embedder("precomputed", vectors=vectors, key="id", model="m", dimension=1).embed(d, "text").where("embedding is not null").count() == 1
+    assert model_info(HashingEmbedder(8)) == {"provider": "hashing", "model": "hashing-8", "dimension": 8, "available": True}
+    assert not create_embedder("precomputed", vectors=vectors.limit(0), key="id", model="m", dimension=1).is_available()
     register_provider("own", lambda: HashingEmbedder(4))
     assert create_embedder("own").dimension == 4 and "own" in available_providers()
     with pytest.raises(ValueError):

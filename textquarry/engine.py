@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textquarry.config import Config
 from textquarry.operators import metadata, vector
-from textquarry.operators.embedding import create_embedder
+from textquarry.operators.embedding import create_embedder, model_info
 from textquarry.operators.keyword import KeywordIndex
 from textquarry.plans import pipeline
 from textquarry.runtime import cut
@@ -44,6 +44,7 @@ class Engine:
     def __exit__(self, kind, value, trace) -> None:
         if kind is None and self.config.auto_persist:
             self.save()
+        self.embedder.close()
 
     def chunks(self) -> DataFrame | None:
         """The current index, or None."""
@@ -111,6 +112,10 @@ class Engine:
         chunks = self.chunks()
         return [] if chunks is None else [r["tag"] for r in metadata.discover_tags(chunks.select(F.col("user_tags").alias("tags"))).collect()]
 
+    def search_settings(self) -> dict:
+        """What a search uses: mode, provider, model, weight of the keywords."""
+        return {"hybrid": self.config.use_hybrid_search, "keyword_weight": self.config.keyword_weight} | model_info(self.embedder)
+
     def status(self) -> dict:
         """Counts of the index and the settings."""
         chunks = self.chunks()

@@ -27,6 +27,17 @@ class Embedder(Protocol):
     def embed(self, df: DataFrame, text: str) -> DataFrame:
         """``df`` with ``embedding``."""
 
+    def is_available(self) -> bool:
+        """Whether texts can be embedded now."""
+
+    def close(self) -> None:
+        """Give up what the embedder holds."""
+
+
+def model_info(embedder: Embedder) -> dict:
+    """Provider, model and dimension of an embedder, and whether it can be used."""
+    return {"provider": embedder.provider, "model": embedder.model, "dimension": embedder.dimension, "available": embedder.is_available()}
+
 
 @lru_cache(1 << 18)
 def _hash(word: str) -> int:
@@ -64,6 +75,12 @@ class HashingEmbedder:
     def embed(self, df: DataFrame, text: str) -> DataFrame:
         return df.withColumn("embedding", self.vector(F.col(text)).cast("array<float>"))
 
+    def is_available(self) -> bool:
+        return True
+
+    def close(self) -> None:
+        """Nothing is held."""
+
 
 class PrecomputedEmbedder:
     """Vectors of a table, joined by a key; rows without one get null."""
@@ -77,6 +94,12 @@ class PrecomputedEmbedder:
         vectors = self.vectors.select(self.key, F.col(self.column).alias("embedding")).dropDuplicates([self.key])
         return df.join(vectors, self.key, "left")
 
+    def is_available(self) -> bool:
+        return not self.vectors.isEmpty()
+
+    def close(self) -> None:
+        self.vectors.unpersist()
+
 
 _PROVIDERS: dict[str, Callable[..., Embedder]] = {}
 

@@ -66,9 +66,23 @@ def relevance_reason(kind: Column, terms: Column) -> Column:
     )
 
 
-def position(start: Column, end: Column) -> dict[str, Column]:
-    """``start_char, end_char, char_length``; the length only where both ends are known."""
-    return {"start_char": start, "end_char": end, "char_length": end - start}
+def position(start: Column, end: Column, first_line: Column | None = None, last_line: Column | None = None) -> dict[str, Column]:
+    """``start_char, end_char, char_length``, and with lines ``line_start, line_end, line_count``; lengths only where both ends are known."""
+    chars = {"start_char": start, "end_char": end, "char_length": end - start}
+    if first_line is None or last_line is None:
+        return chars
+    # The greatest of both skips nulls, so the count is asked for only where both lines are known.
+    count = last_line - first_line + 1
+    return chars | {"line_start": first_line, "line_end": last_line, "line_count": F.when(count.isNotNull(), F.greatest(F.lit(1), count))}
+
+
+def routed_metadata(fields: dict[str, Column]) -> Column:
+    """The fields as one struct of ``content``, ``source``, ``processing`` and the rest, by how their names begin."""
+    # Beginnings of names and the part they belong to.
+    parts = {"content": ("word_", "char_", "line_", "chunk_index"), "source": ("file_", "source_", "created_"), "processing": ("embedding_", "model_", "processing_")}
+    placed = {name: next((part for part, starts in parts.items() if name.startswith(starts)), "") for name in fields}
+    inner = [F.struct(*[fields[n].alias(n) for n in fields if placed[n] == part]).alias(part) for part in parts if part in placed.values()]
+    return F.struct(*inner, *[fields[n].alias(n) for n in fields if not placed[n]])
 
 
 def explain(hits: DataFrame, query: str, text: str = "chunk_text") -> DataFrame:

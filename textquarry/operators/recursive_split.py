@@ -82,12 +82,15 @@ def separators_of(extension: str | None) -> list[str] | None:
     return LANGUAGES.get(ALIASES.get(e, e))
 
 
-def recursive_split(df: DataFrame, text: str, key: str, chunk_size: int = 512, overlap: int = 50, extension: str | None = None) -> DataFrame:
+def recursive_split(df: DataFrame, text: str, key: str, chunk_size: int = 512, overlap: int = 50, extension: str | None = None, offsets: str = "exact") -> DataFrame:
     """``key, chunk_no, chunk_text, start_char, end_char``; sizes are in tokens of 4 (Python code: 5) characters.
 
     With ``extension``, the column that names the language, code is cut at its definitions; unknown languages and prose
-    at paragraphs, lines and sentences. Rows are independent: no shuffle.
+    at paragraphs, lines and sentences. Rows are independent: no shuffle. ``offsets="compat"`` gives each chunk the place
+    where its text is next found behind the chunk before or, overlapping it, that chunk's end.
     """
+    if offsets not in ("exact", "compat"):
+        raise ValueError("offsets must be exact or compat")
     kind = df.schema[key].dataType.simpleString()
     columns = [key, "chunk_no", "chunk_text", "start_char", "end_char"]
 
@@ -98,7 +101,12 @@ def recursive_split(df: DataFrame, text: str, key: str, chunk_size: int = 512, o
             for k, t, e in zip(pdf[key], pdf["_text"], extensions):
                 per_token = 5 if e == "py" else 4
                 spans = split_text(t, chunk_size * per_token, overlap * per_token, separators_of(e) or PROSE)
-                rows += [(k, i, t[a:b], a, b) for i, (a, b) in enumerate(spans)]
+                at = 0
+                for i, (a, b) in enumerate(spans):
+                    if offsets == "compat":
+                        a, b = (found, found + b - a) if (found := t.find(t[a:b], at)) >= 0 else (at, at + b - a)
+                        at = b
+                    rows.append((k, i, t[spans[i][0] : spans[i][1]], a, b))
             yield pd.DataFrame(rows, columns=columns)
 
     chosen = [df[key], df[text].alias("_text")] + ([df[extension].alias("_ext")] if extension else [])

@@ -88,7 +88,9 @@ def search(chunks: DataFrame, vectors: DataFrame, keywords: keyword.KeywordIndex
         best = keyword.hybrid_topk(hits, keyword.keyword_scores(keywords, query), k, weight)
     else:
         best = hits.orderBy(F.desc("score"), "vec_id").limit(k).select("vec_id", F.col("score").alias("vector_score"), F.lit(None).cast("double").alias("keyword_score"), "score")
-    found = vector.lookup(best, chunks.select("vec_id", "chunk_id", "source_path", "source_type", "chunk_text", "start_char", "end_char", "parent_section"))
+    about = [c for c in ("created_at", "file_extension", "embedding_provider", "embedding_model") if c in chunks.columns]
+    found = vector.lookup(best, chunks.select("vec_id", "chunk_id", "source_path", "source_type", "chunk_text", "start_char", "end_char", "parent_section", *about))
+    found = found.withColumn("structured", ranking.routed_metadata({"char_count": F.length("chunk_text"), "source_type": F.col("source_type")} | {c: F.col(c) for c in about})).drop(*about)
     return ranking.explain(found, query).withColumn("preview", preview(F.col("chunk_text"))).orderBy("rank")
 
 

@@ -104,7 +104,7 @@ def draw_mix(sizes: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def build_mix(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
-    """(mix, report); the report has the share each target source has reached in the mix."""
+    """(mix, report); the report has the share each target source has reached in the mix, and by how much its last document exceeds its budget."""
     sizes = cut(token_sizes(documents, path))
     plan = cut(budgets(sizes, targets))
     mix = draw_mix(sizes, plan)
@@ -115,7 +115,7 @@ def build_mix(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -
     # One row per target: a small table, so the window over all of it is no hot task.
     report = plan.join(reached, "source", "left").select(
         "source", "target_share", "max_repeats", F.coalesce("mixed", F.lit(0)).alias("tokens"), F.coalesce("copies", F.lit(0)).alias("copies"),
-        F.coalesce(F.col("mixed") / whole, F.lit(0.0)).alias("actual_share"), F.round("budget").cast("long").alias("budget_tokens"), short.alias("short"),
+        F.coalesce(F.col("mixed") / whole, F.lit(0.0)).alias("actual_share"), F.round("budget").cast("long").alias("budget_tokens"), F.round(F.greatest(F.coalesce("mixed", F.lit(0)) - F.col("budget"), F.lit(0.0))).cast("long").alias("overshoot_tokens"), short.alias("short"),
     )
     return mix, report
 

@@ -18,6 +18,7 @@ def values(text):
     ('password = "correct-horse-battery-staple"', ["correct-horse-battery-staple"]), ('password="summer"', ["summer"]), ('password="p@ss w0rd1!"', ["p@ss w0rd1!"]), ('pwd = "a1b2"', ["a1b2"]),
     ('token = """c29tZSB0b2tlbg1\nb3ZlciBsaW5lcw22"""', ["c29tZSB0b2tlbg1\nb3ZlciBsaW5lcw22"]), ('MY_TOKEN="abc" "def123456"', ["abc", "def123456"]), ('x = 1  # don\'t use: api_key = "k9\\"x81b2"', ['k9\\"x81b2']),
     ('conn = "host=a;password=Xk29!vq;user=b"', ["Xk29!vq"]), (f"const {'A' * 200}_API_KEY = '{T}';", [T]), ('d = {"db_password": "winter"}', ["winter"]),
+    ('body = "{\\"token\\": \\"k93jfQ0x7Lm2\\"}"', ["k93jfQ0x7Lm2"]), ("# " * 3000 + "password: Xk29!vqz", ["Xk29!vqz"]), ("/* " * 3000 + "x\npassword = 'Xk29!vqz'", ["Xk29!vqz"]),
     ("source.setPassword(\"Title!narrow909\");", ["Title!narrow909"]), (f"pass 'é' then token = \"{T}\"", [T]),
 ])
 def test_found(text, found):

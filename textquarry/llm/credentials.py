@@ -44,22 +44,27 @@ _PLACEHOLDERS = frozenset(
 )
 _NAME = re.compile(_CREDENTIAL + r"(?![a-z0-9_-])", re.I)
 _PASSWORD = re.compile(r"(?i)(?:pass|pwd)\w*$")
-#: The lexical elements: literals (a quote inside a word opens none), comments, identifiers.
-_TOKEN = re.compile(
-    r"""(?P<literal>(?<!\w)[bruf]{0,2}(?:\"\"\".*?\"\"\"|'''.*?''')|"(?:\\.|[^"\\\n])*"|(?<!\w)'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\\n])*`)|"""
-    r"""(?P<comment>(?<![:\w/])//[^\n]*|/\*.*?\*/|<!--.*?-->|(?<!\S)(?:\#|--[ \t])[^\n]*)|(?P<name>[A-Za-z_$][\w$]*(?:[.-]+[\w$]+)*)""",
-    re.S,
+#: The lexical elements: literals (a quote inside a word opens none), identifiers and, outside of them, comments up to the end of their line.
+_INSIDE = (
+    r"""(?P<literal>(?<!\w)[bruf]{0,2}(?:\"\"\".{0,20000}?\"\"\"|'''.{0,20000}?''')|"(?:\\.|[^"\\\n])*"|(?<!\w)'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\\n])*`)|"""
+    r"""(?P<name>[A-Za-z_$][\w$]*(?:[.-]+[\w$]+)*)"""
 )
+_COMMENT = r"""|(?P<comment>(?<![:\w/])//[^\n]*|/\*[^\n]*?(?:\*/|$)|<!--[^\n]*?(?:-->|$)|(?<!\S)(?:\#|--[ \t])[^\n]*)"""
+_TOKEN, _INNER = re.compile(_INSIDE + _COMMENT, re.S | re.M), re.compile(_INSIDE, re.S)
+#: What opens a literal or a comment, however often.
+_OPENS = re.compile(r"(?:[bruf]{0,2}[\"'`]+)?(?:\s*(?://+|/\*+|<!--|\#+|--))*")
 _ABOUT = re.compile(r"(?i)^(?:label|max|min|num|no|has|is|show|use|enable|disable|require|hint|placeholder|title|public|pub|build|make|get|find|load|read|write|apply|check|render|resolve|update|collect|merge|route|split|trim)(?:[_.-]|(?=[A-Z]))")
 #: The credential word must be a word of the identifier: ``token`` in ``authToken`` and ``auth_token``, not in ``betoken``.
 _ENDS = re.compile(r"(?:^|[^A-Za-z])(?i:" + _CREDENTIAL + r")$|[a-z0-9](?-i:Passw(?:or)?d|Passphrase|Pass|Pwd|Secret|Token|Credentials?|Key|PASSWORD|SECRET|TOKEN|KEY)$|(?i:^|[^A-Za-z])(?i:api|access|auth|db|client|my|user|smtp|root|admin)(?i:" + _CREDENTIAL + r")$")
 _SEPARATOR = re.compile(
-    r"""["'`\])}]{0,3}(?:\s*:\s*&?(?:'static\s+)?(?:[A-Za-z_][\w<>.\[\]]*)(?=\s*=[^=]))?(?P<sep>\s*(?::=|=>|===?|=|:)\s*|\s*\(\s*|\s*,\s*|>\s*|\s+value\s*=\s*|[ \t]+is[ \t]+|[ \t]+)"""
+    r"""(?:\\?["'`\])}]){0,3}(?:\s*:\s*&?(?:'static\s+)?(?:[A-Za-z_][\w<>.\[\]]*)(?=\s*=[^=]))?(?P<sep>\s*(?::=|=>|===?|=|:)\s*|\s*\(\s*|\s*,\s*|>\s*|\s+value\s*=\s*|[ \t]+is[ \t]+|[ \t]+)"""
 )
 _LITERAL = re.compile(
     r"""(?:[bru]{0,2}(?P<q>"(?!"")|'(?!'')|`)(?P<s>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q))""", re.S
 )
 _TRIPLE = re.compile(r'(?P<q>"""|\'\'\')(?P<s>.*?)(?P=q)', re.S)
+#: A literal inside a literal: its quotes are escaped.
+_ESCAPED = re.compile(r"""\\(?P<q>["'])(?P<s>[^"'\\\n]+)\\(?P=q)""")
 _JOIN = re.compile(r"""[ \t]+(?=["'])|\s*(?:\+|\.\.?|&|\\)?\s*(?:\\\s*\n\s*|\n\s*)?(?=["'`])""")
 _BLOCK = re.compile(r"[ \t]*(?:[|>][+-]?[ \t]*\r?\n[ \t]+|\r?\n[ \t]+(?=\S+[ \t]*(?:\r?\n|$)))")
 _BLOCK_VALUE = re.compile(r"[^\s\"']+")
@@ -113,20 +118,26 @@ def is_placeholder(value: str, quoted: bool, password: bool = False) -> bool:
     return not quoted and not re.search(r"\d", v) and not re.search(r"[^\w.-]", v)
 
 
-def credential_names(text: str, start: int = 0, end: int | None = None) -> Iterator[tuple[int, int]]:
+def credential_names(text: str) -> Iterator[tuple[int, int]]:
     """Spans of the identifiers that name a credential, in code, comments and literals."""
-    end = len(text) if end is None else end
-    for m in _TOKEN.finditer(text, start, end):
-        if m.lastgroup == "name":
-            if _NAME.search(m.group()) and _ENDS.search(m.group()) and not _ABOUT.match(re.split(r"[.$]", m.group())[-1]):
-                yield m.span()
-        elif _NAME.search(text, *m.span()):
-            first = re.match(r"[bruf]{0,2}[\"'`]+|//+|/\*+|<!--|\#+|--", m.group())
-            yield from credential_names(text, m.start() + (first.end() if first else 1), m.end() - (m.lastgroup == "literal"))
+    regions = [(0, len(text), _TOKEN)]
+    while regions:
+        start, end, token = regions.pop()
+        for m in token.finditer(text, start, end):
+            if m.lastgroup == "name":
+                if _NAME.search(m.group()) and _ENDS.search(m.group()) and not _ABOUT.match(re.split(r"[.$]", m.group())[-1]):
+                    yield m.span()
+            elif _NAME.search(text, *m.span()):
+                # No comment begins in a comment, and no literal in one of its own quotes: few levels, each read once.
+                inner = m.start() + len(_OPENS.match(m.group()).group())
+                regions.append((max(inner, m.start() + 1), m.end() - (m.lastgroup == "literal"), _INNER if m.lastgroup == "comment" or token is _INNER else _TOKEN))
 
 
 def _literals(text: str, at: int) -> list[tuple[int, int]]:
     """The contents of the literal at this position and of those joined to it."""
+    inside = _ESCAPED.match(text, at)
+    if inside:
+        return [inside.span("s")]
     m = _TRIPLE.match(text, at) or _LITERAL.match(text, at)
     out = []
     while m:

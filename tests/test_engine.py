@@ -96,6 +96,18 @@ def test_large_files_are_reported(spark, folder):
     assert counts["files"] == 1 and counts["too_large"] == ["large.txt"] and counts["too_large_files"] == 1
 
 
+def test_hooks_and_media_types(spark, folder):
+    base = os.path.join(folder, "f")
+    os.makedirs(base)
+    for name in ("a.csv", "b.txt", "c.bin"):
+        with open(os.path.join(base, name), "w") as f:
+            f.write("some words here")
+    config = Config(index_dir=os.path.join(folder, "index"), embedding_dimension=16)
+    engine = Engine(spark, config, after_loading=lambda d: d.where("filename_stem != 'b'"), after_chunking=lambda d: d.withColumn("chunk_text", F.upper("chunk_text")))
+    engine.index_folder(base, "t")
+    assert [(r["source_path"], r["chunk_text"], r["metadata"]["mime_type"]) for r in engine.chunks().collect()] == [("a.csv", "SOME WORDS HERE", "text/csv")]
+
+
 def test_a_file_of_many_sections(spark, folder):
     text = "\n".join(f"# S{i}\n{'x' * 60}" for i in range(30_000)) + "\n# Long\n" + "Word by word. " * 200
     files = spark.createDataFrame([("a.md", "md", text, ["t"], "text/markdown", "a")], "relative_path string, file_extension string, text string, tags array<string>, mime_type string, filename_stem string")

@@ -27,7 +27,8 @@ LISTED = 100
 class Engine:
     """State is the stored index only; every method is a Spark plan over it."""
 
-    def __init__(self, spark: SparkSession, config: Config | None = None):
+    def __init__(self, spark: SparkSession, config: Config | None = None, after_loading: pipeline.Hook | None = None, after_chunking: pipeline.Hook | None = None):
+        self.hooks = {"after_loading": after_loading, "after_chunking": after_chunking}
         self.spark, self.config = spark, config or Config.load()
         self.store = IndexStore(spark, self.config.index_path, self.config.max_backups if self.config.backup_indices else 1)
         options = {"dimension": self.config.embedding_dimension} if self.config.embedding_provider == "hashing" else {}
@@ -64,7 +65,7 @@ class Engine:
         files = read_files(self.spark, *wanted, self.config.max_file_size_mb, tags)
         old = self.chunks()
         last = None if old is None else old.agg(F.max("vec_id")).first()[0]
-        new, blank = pipeline.index_files(files, self.config, self.embedder, 0 if last is None else last + 1)
+        new, blank = pipeline.index_files(files, self.config, self.embedder, 0 if last is None else last + 1, **self.hooks)
         new = cut(new)
         if old is not None and upsert:
             self._replace(metadata.remove_chunks(old, names.select(F.col("relative_path").alias("source_path")), "source_path"))

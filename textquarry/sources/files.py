@@ -62,9 +62,8 @@ def route(extension: Column, mime: Column) -> Column:
 
 def mime_type(extension: Column) -> Column:
     """The registered media type of an extension without dot; null for none."""
-    known = mimetypes.MimeTypes()
-    pairs = [(e, t) for e in TEXT_EXTENSIONS if (t := known.guess_type(f"x.{e}")[0])]
-    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])[extension]
+    registered = mimetypes.MimeTypes().types_map[True]
+    return F.create_map(*[F.lit(x) for e, t in sorted(registered.items()) for x in (e[1:], t)])[extension]
 
 
 def parse_tags(tags: Column, distinct: bool = True) -> Column:
@@ -154,8 +153,9 @@ def list_files(spark: SparkSession, base: str, include: list[str] | None = None,
     files = files.where(F.col("length") >= 1)
     files = files if max_file_size_mb is None else files.where(F.col("length") <= max_file_size_mb * (1 << 20))
     files = crawl_filter(exclude_dirs(files, "relative_path", exclude_directories or []), "relative_path", include, exclude)
-    mime = F.when(F.substring_index("relative_path", "/", -1) == ".gitattributes", "text/plain")
-    return files.where(route(extension_of(F.col("relative_path")), mime) == "text")
+    ext = extension_of(F.col("relative_path"))
+    mime = F.when(F.substring_index("relative_path", "/", -1) == ".gitattributes", "text/plain").otherwise(mime_type(ext))
+    return files.where(route(ext, mime) == "text")
 
 
 def read_files(spark: SparkSession, base: str, include: list[str] | None = None, exclude: list[str] | None = None, exclude_directories: list[str] | None = None, max_file_size_mb: int = 10, tags: str = "") -> DataFrame:

@@ -72,6 +72,7 @@ def test_vectors(spark):
     assert [list(r["u"]) for r in v.where("vec_id < 2").orderBy("vec_id").select(unit(F.col("embedding")).alias("u")).collect()] == [[0.6, 0.8], [0.0, 0.0]]
     assert [(r["vec_id"], r["score"]) for r in vector.vector_topk(v, [1.0, 0.0], 3).collect()] == [(0, 3.0), (2, 1.0), (5, 1.0)]
     assert "TakeOrderedAndProject" in vector.vector_topk(v, [1.0, 0.0], 3)._jdf.queryExecution().executedPlan().toString()
+    assert [r["vec_id"] for r in vector.vector_topk(v.union(v), [1.0, 0.0], 3, repeated=True).collect()] == [0, 2, 5]
     out = vector.vector_topk_batch(v, v.where("vec_id = 2"), 2).orderBy("rank").collect()
     assert [(r["vec_id"], r["score"]) for r in out] == [(0, 3.0), (5, 1.0)]
     assert [r["score"] for r in vector.compat_scores(vector.vector_topk(v, [1.0, 0.0], 1)).collect()] == [0.0]

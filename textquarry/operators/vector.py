@@ -20,9 +20,13 @@ from textquarry.runtime import dealt
 BLOCK_NUMBERS = 8 << 20
 
 
-def vector_topk(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """``key, score`` of the k largest inner products with the query, best first. Planned as a top-k without a full sort."""
+def vector_topk(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", column: str = "embedding", repeated: bool = False) -> DataFrame:
+    """``key, score`` of the k largest inner products with the query, best first. Planned as a top-k without a full sort.
+
+    Where ids may be ``repeated``, each counts once, by its best row; only ids and scores are shuffled for that.
+    """
     rows = vectors.where(F.size(column) == len(query)).select(key, dot(F.col(column), literal(query)).alias("score"))
+    rows = rows.groupBy(key).agg(F.max("score").alias("score")) if repeated else rows
     return rows.orderBy(F.desc("score"), key).limit(k)
 
 

@@ -74,12 +74,12 @@ def index_files(files: DataFrame, config: Config, embedder: Embedder, next_vec_i
     return stored, blank
 
 
-def search(chunks: DataFrame, vectors: DataFrame, keywords: keyword.KeywordIndex | None, query: str, query_vector: list[float], k: int = 5, weight: float = 0.3, score_mode: str = "similarity") -> DataFrame:
+def search(chunks: DataFrame, vectors: DataFrame, keywords: keyword.KeywordIndex | None, query: str, query_vector: list[float], k: int = 5, weight: float = 0.3, score_mode: str = "similarity", repeated: bool = False) -> DataFrame:
     """Ranked and explained results, best first: twice k candidates by vector, blended with keyword scores, k of them kept.
 
     Without a keyword index the vectors alone decide. The texts are read only for the k results.
     """
-    hits = cut(vector.vector_topk(vectors, query_vector, 2 * k))
+    hits = cut(vector.vector_topk(vectors, query_vector, 2 * k, repeated=repeated))
     if score_mode == "compat":
         hits = vector.compat_scores(hits, clamp=keywords is None)
     else:

@@ -45,26 +45,25 @@ def _keywords(s, d):
 
 
 def _own(s, d):
-    """Vectors of the chunks of one model, one per chunk."""
-    return table(s, d, "chunk_vectors").where((F.col("embedding_model") == MODEL) & (F.size("embedding") == DIMENSION)).dropDuplicates(["vec_id"])
+    """Vectors of the chunks of one model; some are there twice."""
+    return table(s, d, "chunk_vectors").where((F.col("embedding_model") == MODEL) & (F.size("embedding") == DIMENSION))
 
 
 def _own_query(s, d):
-    vectors = _own(s, d)
-    return vector.query_vector(vectors, vectors.agg(F.min("vec_id")).first()[0])
+    return [float(x) for x in _own(s, d).agg(F.min_by("embedding", "vec_id").alias("v")).first()["v"]]
 
 
 def _own_hits(s, d, k=K):
-    return vector.vector_topk(_own(s, d), _own_query(s, d), k)
+    return vector.vector_topk(_own(s, d), _own_query(s, d), k, repeated=True)
 
 
 def _hybrid(s, d):
-    return keyword.hybrid_topk(_own_hits(s, d, 2 * K), keyword.keyword_scores(_keywords(s, d), QUERY), K, WEIGHT)
+    return keyword.hybrid_topk(cut(_own_hits(s, d, 2 * K)), keyword.keyword_scores(_keywords(s, d), QUERY), K, WEIGHT)
 
 
 def _explained(s, d):
     """The flagship: a hybrid search of the chunks by one of their own vectors, explained."""
-    return pipeline.search(_c(s, d), _own(s, d), _keywords(s, d), QUERY, _own_query(s, d), K, WEIGHT)
+    return pipeline.search(_c(s, d), _own(s, d), _keywords(s, d), QUERY, _own_query(s, d), K, WEIGHT, repeated=True)
 
 
 def _ranked(s, d):

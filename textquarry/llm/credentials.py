@@ -43,7 +43,8 @@ _PLACEHOLDERS = frozenset(
     "secret password passwd token string str your_api_key_here your-token xxx test yes no on off required optional unset empty default".split()
 )
 _NAME = re.compile(_CREDENTIAL + r"(?![a-z0-9_-])", re.I)
-_PASSWORD = re.compile(r"(?i)(?:pass|pwd)\w*$")
+#: Names whose values people make up, so that a plain word can be one.
+_PASSWORD = re.compile(r"(?i)(?:pass|pwd|secret)\w*$")
 #: The lexical elements: literals (a quote inside a word opens none), identifiers and, outside of them, comments up to the end of their line.
 _INSIDE = (
     r"""(?P<literal>(?<!\w)[bruf]{0,2}(?:\"\"\".{0,20000}?\"\"\"|'''.{0,20000}?''')|"(?:\\.|[^"\\\n])*"|(?<!\w)'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\\n])*`)|"""

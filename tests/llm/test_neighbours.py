@@ -1,7 +1,11 @@
+from pathlib import Path
+from urllib.parse import urlparse
+
 import numpy as np
 
 from textquarry.llm import neighbours
 from textquarry.llm.neighbours import neighbour_chunks, neighbour_pairs, nearest
+from textquarry.runtime import ensure_checkpoint_dir
 
 SCHEMA = "vec_id long, chunk_id string, embedding_model string, embedding array<float>, rep long, rank int, near string"
 
@@ -52,6 +56,19 @@ def test_trees_grow_in_tiers(spark, monkeypatch):
     assert recall(spark, rows) >= 0.9
 
 
+def test_grown_vectors_lie_on_disk_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((60, 64))
+    rows = [(i, "m", centres[i % 60] + 0.2 * rng.standard_normal(64)) for i in range(1200)]
+    for name, value in (("SAMPLE", 64), ("LEAF", 60), ("GROWS", 120), ("ROUNDS", 3), ("ROUND", 1 << 18), ("SENT_PLANES", 1 << 12)):
+        monkeypatch.setattr(neighbours, name, value)
+    folder = urlparse(ensure_checkpoint_dir(spark)).path
+    held = lambda: sum(p.stat().st_size for p in Path(folder).rglob("*") if p.is_file())
+    before = held()
+    assert recall(spark, rows) >= 0.9  # in three rounds, planes in several blocks
+    assert held() - before < 8 * len(rows) * 64 * 4
+
+
 def test_copies_ties_and_dirty_rows(spark):
     rows = [(i, "m", [1, 0, 0]) for i in range(10)] + [(20, "m", [0.9, 0.1, 0]), (21, "m", [0, 1, 0]), (22, "m", None), (23, "m", [0, 0, 0]), (24, "m", [1, 0]), (25, "n", [1, 0, 0]), (20, "m", [0.9, 0.1, 0]), (26, "m", [float("nan"), 0, 1])]
     got = {}

@@ -8,8 +8,10 @@ of one of its leaves. The candidates of the visited leaves are reranked by exact
 
 The trees grow in tiers. The top of a model's trees is fitted on a bounded sample; leaves that then hold too many vectors
 are grown further, each on a bounded sample of its own vectors, until none does, so the comparisons per vector don't grow
-with the number of vectors. The planes of a tier lie in a table and meet the vectors of their node only. What planes
-can't part is compared in blocks, so no task gets an unbounded group.
+with the number of vectors. Planes are far smaller than what they part (two bytes a vector), so they travel to the
+vectors, in blocks, and a vector keeps one short list of visited leaves. The leaves are reranked in rounds, so that not
+all vectors lie in seven shuffled copies at once. What planes can't part is compared in blocks, so no task gets an
+unbounded group.
 
 Null, all-zero and non-finite vectors, and those whose length isn't the usual one of their model, take no part;
 repeated ids count once (the first by a hash of the vector); equal similarities (to 9 decimals) go to the smaller id. Extra
@@ -27,19 +29,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.runtime import cut, small_or_plain
+from textquarry.runtime import cut, discard, small_or_plain, sweep
 
 #: Vectors of a model, or of a leaf that grows further, to which planes are fitted.
 SAMPLE = 16_384
 TREES, VISITED, LEAF, SAMPLE_LEAF = 4, 7, 640, 8
 #: Leaves of more own vectors than this grow further, in at most so many tiers (of eleven levels each at this sample).
 GROWS, TIERS = 8 * LEAF, 6
-#: Rows of a node that meet its planes in one task, and bytes of planes sent to all tasks at once.
-ROUTED, SENT_PLANES = 50_000, 64 << 20
+#: Vectors that meet planes at once, and bytes of planes sent to all tasks at once.
+ROUTED, SENT_PLANES = 2048, 64 << 20
 #: Random directions tried per node, the points of a node they are tried on, and how central the plane must be.
 DIRECTIONS, TRIED, CENTRE = 24, 1500, (0.35, 0.65)
 #: Rows of a leaf per block.
 BLOCK = 4096
+#: Bytes of vectors shuffled in a round of reranking, and most rounds (each reads all vectors once).
+ROUND, ROUNDS = 2 << 30, 16
 
 
 class Tree:
@@ -117,6 +121,45 @@ def visited_leaves(forest: list[Tree], x: np.ndarray, start: np.ndarray | None =
     return tree, node, cost
 
 
+def grown_visits(x: np.ndarray, tree: np.ndarray, path: np.ndarray, cost: np.ndarray, node: np.ndarray, planes: Planes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tree, path, cost) per vector after the visited nodes have grown; ``node``: their numbers in ``planes``, -1 for those that stay.
+
+    One queue as before: a node's cost is that of its best leaf, so the best nodes and leaves can be kept after each level.
+    """
+    inside = np.zeros(node.shape, dtype=np.int64)
+    for level in range(int(planes.depths.max(initial=0))):
+        rows, cols = np.nonzero((node >= 0) & (planes.depths[node] > level))
+        at = planes.starts[node[rows, cols]] + 2**level - 1 + inside[rows, cols]
+        margin = np.einsum("nd,nd->n", planes.normals[at], x[rows]) - planes.offsets[at]
+        right = margin >= 0
+        off_path, off_inside, off_cost = path.copy(), inside.copy(), np.full(cost.shape, np.inf, dtype=np.float32)
+        off_path[rows, cols], off_inside[rows, cols] = path[rows, cols] * 2 + ~right, inside[rows, cols] * 2 + ~right
+        off_cost[rows, cols] = np.maximum(cost[rows, cols], np.maximum(np.abs(margin), np.float32(1e-12)))
+        path[rows, cols], inside[rows, cols] = path[rows, cols] * 2 + right, inside[rows, cols] * 2 + right
+        cost = np.concatenate([cost, off_cost], axis=1)
+        keep = np.argsort(cost, axis=1, kind="stable")[:, :VISITED]
+        both = [np.concatenate(p, axis=1) for p in ((tree, tree), (path, off_path), (inside, off_inside), (node, node))]
+        tree, path, inside, node, cost = (np.take_along_axis(v, keep, axis=1) for v in (*both, cost))
+    return tree, path, cost
+
+
+class Planes:
+    """The planes of many nodes of one model, one after the other, and the numbers of their nodes."""
+
+    def __init__(self, rows: pd.DataFrame):
+        rows = rows.assign(key=rows["path"] * TREES + rows["tree"]).sort_values("key")
+        self.keys, self.depths = rows["key"].to_numpy(), rows["depth"].to_numpy()
+        self.starts = np.concatenate([[0], np.cumsum(2**self.depths - 1)[:-1]]).astype(np.int64)
+        self.offsets = np.frombuffer(b"".join(rows["offsets"]), dtype=np.float32)
+        self.normals = np.frombuffer(b"".join(rows["normals"]), dtype=np.float32).reshape(len(self.offsets), -1)
+
+    def numbers(self, tree: np.ndarray, path: np.ndarray) -> np.ndarray:
+        """The number of each visited node here, -1 where it isn't."""
+        keys = path * TREES + tree
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """``vec_id, model, v, h1, h2``: the unit vectors (32-bit numbers as bytes) of the usual length of their model.
 
@@ -150,8 +193,17 @@ def _sampled(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64("id", *keys), F.lit(spread)) < F.lit(float(spread) * SAMPLE) / F.col(number))
 
 
+_PLACED = "model string, id long, v binary, trees array<int>, paths array<long>, costs array<float>"
+
+
+def _placed_rows(model: str, g: pd.DataFrame, tree: np.ndarray, path: np.ndarray, cost: np.ndarray) -> pd.DataFrame:
+    order = np.argsort(cost, axis=1, kind="stable")
+    tree, path, cost = (np.take_along_axis(a, order, axis=1) for a in (tree, path, cost))
+    return pd.DataFrame({"model": model, "id": g["id"].to_numpy(), "v": g["v"].to_numpy(), "trees": list(tree.astype(np.int32)), "paths": list(path), "costs": list(cost)})
+
+
 def _planted(distinct: DataFrame) -> DataFrame:
-    """``model, tree, path, cost, id, v``: the leaves that each vector visits in the top of its model's trees."""
+    """``model, id, v, trees, paths, costs``: the leaves that each vector visits in the top of its model's trees, the best first."""
     spark = distinct.sparkSession
     rows = distinct.select("model", F.col("rep").alias("id"), "v")
     counts = {r["model"]: r for r in rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("v")).alias("size")).collect()}
@@ -164,7 +216,7 @@ def _planted(distinct: DataFrame) -> DataFrame:
             held = 0
         blocks[-1].append(m)
         held += size
-    placed = []
+    placed, routed = [], ROUTED
     for models in blocks:
         mine = rows.where(F.col("model").isin(models))
         numbers = F.create_map(*[F.lit(x) for m in models for x in (m, counts[m]["n"])]) if models else None
@@ -173,25 +225,27 @@ def _planted(distinct: DataFrame) -> DataFrame:
 
         def place(batches: Iterator[pd.DataFrame], forests=forests) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for start in range(0, len(pdf), 2048):
-                    for model, g in pdf.iloc[start : start + 2048].groupby("model"):
+                for start in range(0, len(pdf), routed):
+                    for model, g in pdf.iloc[start : start + routed].groupby("model"):
                         if model in forests.value:
                             forest = forests.value[model]
                             tree, leaf, cost = visited_leaves(forest, _stacked(g["v"]))
-                            at = np.repeat(np.arange(len(g)), leaf.shape[1])
-                            yield pd.DataFrame({"model": model, "tree": tree.ravel(), "path": (leaf + 2 ** forest[0].depth).ravel(), "cost": cost.ravel(), "id": g["id"].to_numpy()[at], "v": g["v"].to_numpy()[at]})
+                            yield _placed_rows(model, g, tree, leaf + 2 ** forest[0].depth, cost)
 
-        placed.append(mine.mapInPandas(place, "model string, tree int, path long, cost float, id long, v binary"))
+        placed.append(mine.mapInPandas(place, _PLACED))
     return reduce(DataFrame.unionByName, placed)
 
 
 _NODE = ["model", "tree", "path"]
 
 
-def _grown(placed: DataFrame, sizes: DataFrame, distinct: DataFrame) -> DataFrame:
-    """The visits after the leaves with too many own vectors have grown a tier further."""
-    growing = sizes.where(F.col("n_own") > GROWS).select(*_NODE, "n_own", F.ceil(F.col("n") / ROUTED).cast("int").alias("salts"))
-    inside = placed.join(small_or_plain(growing), _NODE)
+def _each(placed: DataFrame) -> DataFrame:
+    """``model, tree, path, cost, id, v``: a row for each visited leaf."""
+    return placed.select("model", "id", "v", F.explode(F.arrays_zip("trees", "paths", "costs")).alias("b")).select("model", F.col("b.trees").alias("tree"), F.col("b.paths").alias("path"), F.col("b.costs").alias("cost"), "id", "v")
+
+
+def _fitted(placed: DataFrame, growing: DataFrame) -> DataFrame:
+    """``model, tree, path, depth, normals, offsets``: the planes of the leaves that grow, tree by tree."""
     leaf = LEAF
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -200,52 +254,88 @@ def _grown(placed: DataFrame, sizes: DataFrame, distinct: DataFrame) -> DataFram
         grown = Tree(points, max(1, depth_of(int(pdf["n_own"].iloc[0]), len(points), leaf)), np.random.default_rng([tree, path % 2**31]))
         return pd.DataFrame({"model": [model], "tree": [tree], "path": [path], "depth": [grown.depth], "normals": [grown.normals.tobytes()], "offsets": [grown.offsets.tobytes()]})
 
-    planes = _sampled(inside.where("cost = 0"), _NODE, "n_own").groupBy(*_NODE).applyInPandas(fit, "model string, tree int, path long, depth int, normals binary, offsets binary")
-    # Planes and visits of a node meet in pieces of bounded size.
-    spread = cut(planes).join(growing, _NODE).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(*_NODE, "salt", "depth", "normals", "offsets")
-    salted = inside.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).select(*_NODE, "salt", "cost", "id", "v")
-
-    def route(key: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        model, tree, path, _ = key
-        out = [pd.DataFrame({"model": [], "tree": [], "path": [], "cost": [], "id": []})]
-        if len(own) and len(rows):
-            grown = Tree.__new__(Tree)
-            grown.depth = int(own["depth"].iloc[0])
-            grown.offsets = np.frombuffer(own["offsets"].iloc[0], dtype=np.float32)
-            grown.normals = np.frombuffer(own["normals"].iloc[0], dtype=np.float32).reshape(len(grown.offsets), -1)
-            for start in range(0, len(rows), 2048):
-                g = rows.iloc[start : start + 2048]
-                _, leaf, cost = visited_leaves([grown], _stacked(g["v"]), g["cost"].to_numpy())
-                out.append(pd.DataFrame({"model": model, "tree": tree, "path": (leaf + (path << grown.depth)).ravel(), "cost": cost.ravel(), "id": np.repeat(g["id"].to_numpy(), leaf.shape[1])}))
-        return pd.concat(out)
-
-    deeper = salted.groupBy(*_NODE, "salt").cogroup(spread.groupBy(*_NODE, "salt")).applyInPandas(route, "model string, tree int, path long, cost float, id long")
-    outside = placed.join(small_or_plain(growing.select(_NODE)), _NODE, "left_anti").select("model", "tree", "path", "cost", "id")
-    # The queue over all trees again: the best leaves of each vector, of those grown and those left.
-    best = deeper.unionByName(outside).groupBy("id", "model").agg(F.slice(F.array_sort(F.collect_list(F.struct("cost", "tree", "path"))), 1, VISITED).alias("best"))
-    vectors = distinct.select(F.col("rep").alias("id"), "v")
-    return best.join(vectors, "id").select("model", "id", "v", F.explode("best").alias("b")).select("model", "b.tree", "b.path", "b.cost", "id", "v")
+    planes = []
+    for tree in range(TREES):
+        own = _each(placed).where((F.col("cost") == 0) & (F.col("tree") == tree)).join(small_or_plain(growing.where(F.col("tree") == tree)), _NODE)
+        planes.append(cut(_sampled(own, _NODE, "n_own").groupBy(*_NODE).applyInPandas(fit, "model string, tree int, path long, depth int, normals binary, offsets binary")))
+        sweep(placed.sparkSession)
+    return reduce(DataFrame.unionByName, planes)
+
+
+def _grown(placed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The visits after the leaves with too many own vectors have grown a tier further; the planes go to the vectors."""
+    spark, routed = placed.sparkSession, ROUTED
+    planes = _fitted(placed, sizes.where(F.col("n_own") > GROWS).select(*_NODE, "n_own"))
+    held = planes.agg(F.sum(F.length("normals") + F.length("offsets"))).first()[0] or 0
+    blocks = max(1, math.ceil(held / SENT_PLANES))
+    for block in range(blocks):
+        # A new leaf isn't among those that grow in this tier, so no later block grows it again.
+        rows = planes.where(F.pmod(F.xxhash64(*_NODE), F.lit(blocks)) == block).toPandas()
+        sent = spark.sparkContext.broadcast({m: Planes(g) for m, g in rows.groupby("model")})
+
+        def route(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for start in range(0, len(pdf), routed):
+                    for model, g in pdf.iloc[start : start + routed].groupby("model"):
+                        if model in sent.value:
+                            known = sent.value[model]
+                            tree, path, cost = (np.stack(g[c].to_numpy()) for c in ("trees", "paths", "costs"))
+                            tree, path, cost = grown_visits(_stacked(g["v"]), tree, path, cost, known.numbers(tree, path), known)
+                            yield _placed_rows(model, g, tree, path, cost)
+                        else:
+                            yield g
+
+        placed = placed.mapInPandas(route, _PLACED)
+    return placed
 
 
 def _sizes(placed: DataFrame) -> DataFrame:
-    return placed.groupBy(*_NODE).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("cost") == 0).alias("n_own"))
+    return _each(placed.withColumn("v", F.lit(None))).groupBy(*_NODE).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("cost") == 0).alias("n_own"))
 
 
-def visits(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``model, tree, path, cost, id, v``: the leaves that each vector visits, at no cost its own; the sizes of the leaves)."""
-    placed = _planted(distinct)
+def _visits(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a row per vector with the leaves that it visits; the sizes of the leaves)."""
+    placed = cut(_planted(distinct))
     sizes = cut(_sizes(placed))
     for _ in range(TIERS):
         if sizes.where(F.col("n_own") > GROWS).isEmpty():
             break
-        placed = cut(_grown(placed, sizes, distinct))
+        before, placed = placed, cut(_grown(placed, sizes))
         sizes = cut(_sizes(placed))
+        discard(before)
+        sweep(placed.sparkSession)
     return placed, sizes
 
 
-def candidates(distinct: DataFrame, k: int) -> DataFrame:
-    """``rep, near``: per distinct vector (``rep, model, v``) its k best candidates as (1 - similarity, rep), reranked exactly."""
-    placed, sizes = visits(distinct)
+def visits(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``model, tree, path, cost, id, v``: the leaves that each vector visits, at no cost its own; the sizes of the leaves)."""
+    placed, sizes = _visits(distinct)
+    return _each(placed), sizes
+
+
+def candidates(placed: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """``rep, near``: per distinct vector its k best candidates as (1 - similarity, rep), reranked exactly, in rounds over the leaves."""
+    spark = placed.sparkSession
+    moved = placed.agg(F.sum(F.size("trees") * (F.length("v") + 64))).first()[0] or 0
+    rounds = min(ROUNDS, max(1, math.ceil(moved / ROUND)))
+    best = None
+    for at in range(rounds):
+        mine = lambda df: df.where(F.pmod(F.xxhash64(*_NODE), F.lit(rounds)) == at) if rounds > 1 else df
+        found = _reranked(mine(_each(placed)), mine(sizes), k)
+        every = best.unionByName(found) if best is not None else found
+        merged = every.groupBy("rep").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
+        if rounds == 1:
+            return merged
+        before, best = best, cut(merged)
+        if before is not None:
+            discard(before)
+        del found, every, merged
+        sweep(spark)
+    return best
+
+
+def _reranked(placed: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """``rep, near``: the best candidates of each vector in each of the leaves (and blocks of them) that it visits."""
     # Leaves beyond a block (those that planes can't part) are compared block by block.
     sizes = sizes.select(*_NODE, F.ceil(F.col("n") / BLOCK).cast("int").alias("q_blocks"), F.ceil(F.greatest("n_own", F.lit(1)) / BLOCK).cast("int").alias("c_blocks"))
     sized = placed.withColumn("own", F.col("cost") == 0).join(small_or_plain(sizes), _NODE)
@@ -274,8 +364,7 @@ def candidates(distinct: DataFrame, k: int) -> DataFrame:
             out.append(pd.DataFrame({"rep": ids[rows], "near": [[(f, c) for f, c, o in zip(*r) if not o] for r in zip(np.round(1 - exact, 9).tolist(), other.tolist(), own.tolist())]}))
         return pd.concat(out) if out else pd.DataFrame({"rep": [], "near": []})
 
-    found = queries.select(columns).unionByName(held.select(columns)).groupBy(*_NODE, "qb", "cb").applyInPandas(rerank, "rep long, near array<struct<far:double,rep:long>>")
-    return found.groupBy("rep").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
+    return queries.select(columns).unionByName(held.select(columns)).groupBy(*_NODE, "qb", "cb").applyInPandas(rerank, "rep long, near array<struct<far:double,rep:long>>")
 
 
 def nearest(vectors: DataFrame, k: int = 5) -> DataFrame:
@@ -289,15 +378,21 @@ def nearest(vectors: DataFrame, k: int = 5) -> DataFrame:
     groups = members.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
     each = unit.groupBy("h1", "h2").agg(F.first("model").alias("model"), F.first("v").alias("v"))
     distinct = cut(groups.join(each, ["h1", "h2"]))
-    found = candidates(distinct, k)
-    reps = distinct.select("rep", "ids")
+    # The vectors go on with their leaves; of the groups only the ids stay.
+    kept = cut(distinct.select("h1", "h2", "rep", "ids"))
+    placed, sizes = _visits(distinct)
+    discard(distinct)
+    del groups, members, each, distinct
+    sweep(vectors.sparkSession)
+    found = candidates(placed, sizes, k)
+    reps = kept.select("rep", "ids")
     # What a distinct vector has around it: its own copies first, then the copies of its neighbours.
     listed = found.select("rep", F.explode("near").alias("s")).select("rep", F.col("s.far").alias("far"), F.col("s.rep").alias("c"))
     around = listed.join(reps.withColumnRenamed("rep", "c"), "c").select("rep", F.transform("ids", lambda i: F.struct(F.col("far").alias("far"), i.alias("id"))).alias("near"))
     own = reps.where(F.size("ids") > 1).select("rep", F.transform("ids", lambda i: F.struct(F.lit(0.0).alias("far"), i.alias("id"))).alias("near"))
     lists = around.unionByName(own).groupBy("rep").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
     # Every copy gets its distinct vector's list without itself.
-    owners = rows.select("vec_id", "h1", "h2").join(distinct.select("h1", "h2", "rep"), ["h1", "h2"]).select("vec_id", "rep")
+    owners = rows.select("vec_id", "h1", "h2").join(kept.select("h1", "h2", "rep"), ["h1", "h2"]).select("vec_id", "rep")
     mine = owners.join(lists, "rep").select("vec_id", F.slice(F.filter("near", lambda s: s["id"] != F.col("vec_id")), 1, k).alias("near"))
     return mine.select("vec_id", F.posexplode("near").alias("at", "s")).select("vec_id", F.col("s.id").alias("neighbour"), (1 - F.col("s.far")).alias("sim"), (F.col("at") + 1).alias("rank"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -82,6 +83,20 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a checkpoint made by ``cut``; nothing that is still to run may read it."""
+    plan = df._jdf.queryExecution().analyzed()
+    found = plan.rdd().getCheckpointFile() if plan.nodeName().startswith(("LogicalRDD", "Scan")) else None
+    if found is not None and found.isDefined():
+        Folder(df.sparkSession, found.get()).delete()
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let the shuffle files of plans that nothing refers to any more be deleted: it happens when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimised plan of ``df``."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

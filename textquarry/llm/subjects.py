@@ -2,10 +2,11 @@
 
 Rules "these words, therefore this subject" are mined first in the sentences of the labelled examples, then, to learn the
 words that the few examples lack, in the sentences of the whole corpus as the first rules label them. Mining is parallel
-frequent-pattern growth, grown to the length of the rules: frequent words are found and ordered; every sentence gives
-each of its words the conditional base of the words before it; a base is kept as the counts of its words and labels,
-which is all of its tree that rules of two words need. The counts are formed in the tasks and summed by a shuffle on the
-word pair, so neither a frequent word nor a sentence that stands in every document makes a large group or a long pattern.
+frequent-pattern growth, grown to the length of the rules: frequent words are found and ordered by frequency; every task
+folds its sentences into a prefix tree with counts per label; the tree gives each word its conditional base, the paths of
+more frequent words before it; a shuffle brings the bases of a word together, and the word's conditional tree is built and
+grown there by the frequent words in it. The base of a very frequent word is grown in parts whose counts are summed before
+the support is tested, and a sentence that stands in every document is one path, so neither makes a large group.
 
 A rule is redundant, and pruned, if a part of its words gives the subject as surely. Confidences are calibrated on labelled
 examples from which the rule wasn't mined: those of the corpus on all examples, those of the examples on each part of
@@ -20,10 +21,12 @@ part. An empty table gives no rows.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
-from itertools import combinations, repeat
+from itertools import combinations
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,6 +51,8 @@ PRIOR = 10
 EVIDENCE = 0.6
 #: Most words of a sentence; labels that a task keeps for sentences of the same rule words.
 STRETCH, TOLD = 200, 100_000
+#: Nodes of a task's tree, and sentences of a word per part of its conditional base.
+NODES, PART = 100_000, 200_000
 
 _TAG = re.compile(r"</?[A-Za-z!][^<>]{0,300}>")
 _CODE = re.compile(r"```.*?(?:```|\Z)", re.S)
@@ -129,25 +134,89 @@ class Rules:
         return known
 
 
-def add_patterns(counts: dict[str, Counter[tuple[str, str]]], words: list[str], label: str | None, others: dict[str, str | None], rules: Rules) -> None:
-    """Count, under what is said of each ('' for nothing), the words (with '') and word pairs, in order, of a sentence.
+class PatternTree:
+    """A prefix tree of word numbers, the most frequent first, with counts per label."""
+
+    def __init__(self) -> None:
+        self.items, self.parents = [-1], [0]
+        self.marks: list[dict[str, int]] = [{}]
+        self.children: list[dict[int, int]] = [{}]
+
+    def add(self, path: Iterable[int], mark: str, n: int = 1) -> None:
+        at = 0
+        for item in path:
+            below = self.children[at].get(item)
+            if below is None:
+                below = self.children[at][item] = len(self.items)
+                self.items.append(item)
+                self.parents.append(at)
+                self.marks.append({})
+                self.children.append({})
+            at = below
+        self.marks[at][mark] = self.marks[at].get(mark, 0) + n
+
+    def _summed(self) -> list[dict[str, int]]:
+        """The counts of each node with those below it."""
+        out = [dict(m) for m in self.marks]
+        for at in range(len(out) - 1, 0, -1):
+            above = out[self.parents[at]]
+            for mark, n in out[at].items():
+                above[mark] = above.get(mark, 0) + n
+        return out
+
+    def bases(self) -> Iterator[tuple[int, tuple[int, ...], dict[str, int]]]:
+        """The conditional bases: of each node its item, the path to it, and its counts."""
+        paths: list[tuple[int, ...]] = [()]
+        for at, marks in enumerate(self._summed()):
+            if at:
+                before = paths[self.parents[at]]
+                paths.append((*before, self.items[at]))
+                yield self.items[at], before, marks
+
+    def grown(self, count: int, length: int) -> Iterator[tuple[tuple[int, ...], dict[str, int]]]:
+        """The patterns of up to ``length`` items in at least ``count`` transactions, each grown in the conditional tree of its last item."""
+        per: dict[int, Counter[str]] = defaultdict(Counter)
+        below: dict[int, PatternTree] = defaultdict(PatternTree)
+        for item, before, marks in self.bases():
+            per[item].update(marks)
+            if length > 1:
+                for mark, n in marks.items():
+                    below[item].add(before, mark, n)
+        for item, marks in per.items():
+            if sum(marks.values()) >= count:
+                yield (item,), marks
+                if length > 1:
+                    yield from (((*body, item), said) for body, said in below[item].grown(count, length - 1))
+
+
+#: Words of a rule.
+RULE_WORDS = 2
+_Base = tuple[str, tuple[str, ...], str, bool]
+
+
+def seed_bases(words: list[str], others: dict[str, str | None], rules: Rules) -> tuple[list[str], list[_Base]]:
+    """(the plain words of a sentence; the bases of its first rules as word, words before it, label, whether the word counts alone).
 
     Patterns with a word that is a first rule take the label of the rest of the sentence, and say nothing where it has none.
     """
-    plain = sorted(w for w in words if w not in others)
-    said = counts[label or ""]
-    said.update(zip(plain, repeat("")))
-    said.update(combinations(plain, 2))
+    plain = [w for w in words if w not in others]
     seeds = [w for w in words if w in others]
+    out: list[_Base] = []
     for i, b in enumerate(seeds):
         if others[b] is not None:
-            said = counts[others[b]]
-            said.update([(b, "")])
-            said.update([(a, b) if a < b else (b, a) for a in plain])
+            out.append((b, tuple(plain), others[b], True))
         for a in seeds[:i]:
             rest = rules.label([x for x in seeds if x not in (a, b)]) if len(seeds) > 2 else None
             if rest is not None:
-                counts[rest].update([(a, b) if a < b else (b, a)])
+                out.append((b, (a,), rest, False))
+    return plain, out
+
+
+def add_patterns(counts: dict[str, Counter[tuple[str, str]]], words: list[str], label: str | None, others: dict[str, str | None], rules: Rules) -> None:
+    """Count a sentence's patterns, under what is said of each ('' for nothing): what growth must give where nothing is too rare."""
+    plain, bases = seed_bases(words, others, rules)
+    for b, before, said, alone in [*((w, tuple(plain[:i]), label or "", True) for i, w in enumerate(plain)), *bases]:
+        counts[said].update([(b, "")] * alone + [(a, b) if a < b else (b, a) for a in before])
 
 
 def mine_rules(patterns: DataFrame, count: int, confidence: float) -> list[tuple[tuple[str, ...], str, float]]:
@@ -178,10 +247,10 @@ def example_sentences(examples: DataFrame) -> DataFrame:
 
 
 def _items(rows: DataFrame, share: float, count: int) -> DataFrame:
-    """``word, subject, share``: words seen often enough, mostly with one subject, and that subject's share."""
+    """``word, subject, share, all``: words seen often enough, mostly with one subject, that subject's share, and how often."""
     top = rows.groupBy("word").agg(F.sum("n").alias("all"), F.max(F.when(F.col("subject") != "", F.struct("n", "subject"))).alias("top"))
     told = F.coalesce("top.n", F.lit(0))
-    return top.where((F.col("all") >= count) & (told >= share * F.col("all"))).select("word", "top.subject", (told / F.col("all")).alias("share"))
+    return top.where((F.col("all") >= count) & (told >= share * F.col("all"))).select("word", "top.subject", (told / F.col("all")).alias("share"), "all")
 
 
 def seed_rules(examples: DataFrame) -> list[tuple[tuple[str, ...], str, float]]:
@@ -269,29 +338,64 @@ def reduce_sentences(documents: DataFrame, items: set[str]) -> DataFrame:
     return documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(reduced, _REDUCED)
 
 
-def count_patterns(reduced: DataFrame, seeds: list[tuple[tuple[str, ...], str, float]]) -> DataFrame:
-    """``a, b, mark, n``: how many sentences have the pattern, by what the first rules say of it."""
-    shared = reduced.sparkSession.sparkContext.broadcast(seeds)
+def count_patterns(reduced: DataFrame, seeds: list[tuple[tuple[str, ...], str, float]], often: dict[str, int], count: int) -> DataFrame:
+    """``a, b, mark, n``: how many sentences have the pattern, by what the first rules say of it; ``often``: sentences of each word.
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rules = Rules(shared.value)
-        counts: dict[str, Counter[tuple[str, str]]] = defaultdict(Counter)
+    Rarer patterns than ``count`` are left out where the whole base of a word is in one part.
+    """
+    first = {w for body, _, _ in seeds for w in body}
+    # First rules come last: their bases have all plain words, under the labels that leave them out.
+    order = sorted(often, key=lambda w: (w in first, -often[w], w))
+    shared = reduced.sparkSession.sparkContext.broadcast((seeds, order, [1 + often[w] // PART for w in order]))
+    nodes, length = NODES, RULE_WORDS
+
+    def based(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, order, parts = shared.value
+        rules, rank = Rules(rows), {w: i for i, w in enumerate(order)}
+        tree, own = PatternTree(), Counter()
 
         def drain() -> pd.DataFrame:
-            out = pd.DataFrame([(*p, m, n) for m, c in counts.items() for p, n in c.items()], columns=["a", "b", "mark", "n"])
-            counts.clear()
+            every = [(i, array("i", before).tobytes(), m, n, True) for i, before, marks in tree.bases() for m, n in marks.items()]
+            every += [(i, array("i", before).tobytes(), m, n, alone) for (i, before, m, alone), n in own.items()]
+            out = pd.DataFrame(every, columns=["item", "base", "mark", "n", "alone"])
+            out["part"] = [crc32(base) % parts[i] for i, base in zip(out["item"], out["base"])]
             return out
 
         for pdf in batches:
-            for parts in pdf["sentences"]:
-                for words in parts:
+            for kept in pdf["sentences"]:
+                for words in kept:
                     words = words.tolist()
-                    add_patterns(counts, words, *rules.labels(words), rules)
-                if sum(map(len, counts.values())) > 300_000:
+                    label, others = rules.labels(words)
+                    plain, bases = seed_bases(words, others, rules)
+                    ranks = tuple(sorted([rank[w] for w in plain]))
+                    tree.add(ranks, label or "")
+                    for w, before, said, alone in bases:
+                        # A pair of first rules always lies in the base of the same one.
+                        i, path = (rank[w], ranks) if alone else (max(rank[w], rank[before[0]]), (min(rank[w], rank[before[0]]),))
+                        own[(i, path, said, alone)] += 1
+                if len(tree.items) + len(own) > nodes:
                     yield drain()
+                    tree, own = PatternTree(), Counter()
         yield drain()
 
-    return reduced.select("sentences").mapInPandas(counted, "a string, b string, mark string, n long").groupBy("a", "b", "mark").agg(F.sum("n").alias("n"))
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, order, parts = shared.value
+        item = int(key[0])
+        least = count if parts[item] == 1 else 1
+        tree, alone = PatternTree(), Counter()
+        for base, mark, n, counts in zip(pdf["base"], pdf["mark"], pdf["n"].tolist(), pdf["alone"]):
+            tree.add(memoryview(base).cast("i"), mark, n)
+            if counts:
+                alone[mark] += n
+        last = order[item]
+        out = [(last, "", m, n) for m, n in alone.items()]
+        for body, marks in tree.grown(least, length - 1):
+            a, b = sorted((order[body[0]], last))
+            out += [(a, b, m, n) for m, n in marks.items()]
+        return pd.DataFrame(out, columns=["a", "b", "mark", "n"])
+
+    bases = reduced.select("sentences").mapInPandas(based, "item int, base binary, mark string, n long, alone boolean, part int")
+    return bases.groupBy("item", "part").applyInPandas(grow, "a string, b string, mark string, n long").groupBy("a", "b", "mark").agg(F.sum("n").alias("n"))
 
 
 _TREATED = "doc_id long, n_sentences int, subject string, treated int"
@@ -305,13 +409,15 @@ def treated_subjects(documents: DataFrame, examples: DataFrame) -> DataFrame:
     total = stats.where("word = ''").agg(F.sum("n")).first()[0] or 0
     count = max(MIN_COUNT, int(MIN_SUPPORT * total))
     # The support bounds the items: a sentence has few words, and an item is in this share of all sentences.
-    frequent = {r["word"] for r in _items(stats.where("word != ''"), ITEM_SHARE, count).select("word").collect()}
+    frequent = {r["word"]: r["all"] for r in _items(stats.where("word != ''"), ITEM_SHARE, count).select("word", "all").collect()}
     # First rules that the corpus refutes are dropped; those it is too small to judge stay.
     words = sorted({w for body, _, _ in seeds for w in body})
     tested = {r["word"]: r["share"] for r in _items(stats.where(F.col("word").isin(words)), 0.0, count).collect()} if words else {}
     seeds = [r for r in seeds if tested.get(r[0][0], 1.0) >= CONFIDENCE]
-    reduced = cut(reduce_sentences(documents, frequent | {w for body, _, _ in seeds for w in body}))
-    corpus = mine_rules(count_patterns(reduced, seeds), count, CONFIDENCE)
+    kept = {w for body, _, _ in seeds for w in body}
+    often = dict.fromkeys(kept, 0) | {r["word"]: r["n"] for r in stats.where(F.col("word").isin(words)).groupBy("word").agg(F.sum("n").alias("n")).collect() if r["word"] in kept} | frequent
+    reduced = cut(reduce_sentences(documents, set(often)))
+    corpus = mine_rules(count_patterns(reduced, seeds, often, count), count, CONFIDENCE)
     known = {(w, s) for w, s, _ in corpus}
     # A rule of the examples stays where the corpus has too few sentences to say anything.
     final = calibrated(corpus, [(r["subject"], r["words"]) for r in example_sentences(examples).collect()])

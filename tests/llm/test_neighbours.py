@@ -66,7 +66,7 @@ def test_grown_vectors_lie_on_disk_once(spark, monkeypatch):
     held = lambda: sum(p.stat().st_size for p in Path(folder).rglob("*") if p.is_file())
     before = held()
     assert recall(spark, rows) >= 0.9  # in three rounds, planes in several blocks
-    assert held() - before < 8 * len(rows) * 64 * 4
+    assert held() - before < 3 * len(rows) * 64 * 4  # 4.4 with every visit a copy
 
 
 def test_copies_ties_and_dirty_rows(spark):
